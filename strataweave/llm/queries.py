@@ -53,6 +53,56 @@ select conv_id, count(*)::bigint as n_turns,
 from w group by conv_id
 """
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm import warc
+    from strataweave.llm.common import new_folder
+
+    warc.register(spark)
+    folder = new_folder(spark, "warc")
+    pages = _table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("record_key"),
+        F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none"))).alias("record_id"),
+        F.col("url").alias("target_uri"),
+        F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"),
+    )
+    warc.with_revisits(pages).write.format("warc").mode("append").save(folder)
+    page = lambda c: F.regexp_extract(c, "([0-9-]+)$", 1).try_cast("long")
+    read = spark.read.format("warc").load(folder)
+    # what a response declares must be what it holds
+    digest = F.when((F.col("record_type") == "revisit") | (F.sha1("payload") == _unbase32(F.col("payload_digest"))), F.col("payload_digest"))
+    return read.select(
+        page(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        F.coalesce(digest, F.raise_error(F.lit("a payload differs from its digest")).cast("string")).alias("payload_digest"),
+        "record_type",
+        page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def _unbase32(c):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    bits = [F.instr(F.lit(letters), F.substring(c, i + 1, 1)) - 1 for i in range(32)]
+    groups = [F.shiftleft(bits[i], 15) + F.shiftleft(bits[i + 1], 10) + F.shiftleft(bits[i + 2], 5) + bits[i + 3] for i in range(0, 32, 4)]
+    return F.concat(*[F.lower(F.lpad(F.hex(g), 5, "0")) for g in groups])
+
+
+OP6_SQL = """
+with h as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest from pages
+), b as (
+  select page_id, digest, octet_length(encode(html)) as payload_bytes, max(page_id) over (partition by digest) as last from h
+), d as (
+  select *, list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(digest, 1 + (i // 4)::bigint * 5, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::bigint, 1)) as letters
+  from b
+)
+select page_id, payload_bytes::bigint as payload_bytes, array_to_string(letters, '') as payload_digest,
+  case when page_id < last then 'revisit' else 'response' end as record_type,
+  case when page_id < last then last end as refers_to
+from d
+"""
+
+
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
@@ -108,6 +158,7 @@ select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_chat_format": op4_chat_format,
+        "op6_warc": op6_warc,
         "op7_url_filter": op7_url_filter,
         "op10_exact_topk": op10_exact_topk,
     }
@@ -116,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_chat_format": OP4_SQL,
+        "op6_warc": OP6_SQL,
         "op7_url_filter": OP7_SQL,
         "op10_exact_topk": OP10_SQL,
     }
