@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch for operators that hold whole texts in Python.
@@ -60,3 +64,35 @@ class WordIndex(dict):
         number = self[word] = len(self)
         self.new.append(word)
         return number
+
+
+#: A word table is emptied between batches once it holds this many words.
+MOST_WORDS = 400_000
+
+
+class Ragged:
+    """Rows of integers of different lengths, appended to and gathered by row number."""
+
+    def __init__(self, dtype) -> None:
+        self.flat = np.zeros(0, dtype)
+        self.ends = np.zeros(1, np.int64)
+
+    def append(self, rows: Sequence[Sequence[int]]) -> None:
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        more = np.fromiter(chain.from_iterable(rows), self.flat.dtype, int(lengths.sum()))
+        self.flat = np.concatenate([self.flat, more])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def gather(self, rows: np.ndarray) -> np.ndarray:
+        starts, lengths = self.ends[rows], self.ends[rows + 1] - self.ends[rows]
+        shift = starts - (np.cumsum(lengths) - lengths)
+        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))]
+
+
+def text_bytes(column: pa.Array) -> list[bytes]:
+    """UTF-8 texts; null is the empty text."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def word_numbers(index: WordIndex, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(index.__getitem__, words), np.int64, len(words))

@@ -129,6 +129,18 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m w
 """
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.topk import exact_topk
 
@@ -160,6 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op6_warc": op6_warc,
         "op7_url_filter": op7_url_filter,
+        "op9_pack": op9_pack,
         "op10_exact_topk": op10_exact_topk,
     }
 
