@@ -12,6 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.chat import format_chats, read_back
 
@@ -53,6 +62,24 @@ select conv_id, count(*)::bigint as n_turns,
 from w group by conv_id
 """
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm.quality import judge_quality
+
+    return judge_quality(_table(spark, sf_dir, "documents"), **quality_vocabularies())
+
+
+def quality_vocabularies() -> dict[str, str]:
+    import public_tokenizers
+
+    return {"pieces": _vocabulary("piece_bpe_32k.model"), "ranks": _vocabulary("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm import warc
     from strataweave.llm.common import new_folder
@@ -129,12 +156,6 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m w
 """
 
 
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.packing import pack
 
@@ -169,7 +190,9 @@ select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_language_id": op3_language_id,
         "op4_chat_format": op4_chat_format,
+        "op5_quality": op5_quality,
         "op6_warc": op6_warc,
         "op7_url_filter": op7_url_filter,
         "op9_pack": op9_pack,
