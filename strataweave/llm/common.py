@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for operators that hold whole texts in Python.
+#: Rows and bytes per Arrow batch for operators that hold whole texts in Python.
 TEXT_ROWS = 1000
+TEXT_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,6 +52,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def with_text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
 class WordIndex(dict):
@@ -67,7 +69,7 @@ class WordIndex(dict):
 
 
 #: A word table is emptied between batches once it holds this many words.
-MOST_WORDS = 400_000
+MOST_WORDS = 800_000
 
 
 class Ragged:

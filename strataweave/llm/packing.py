@@ -34,6 +34,7 @@ from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, text_bytes, wi
 CAPACITY = 4096
 CLOSING_ID = 2
 GROUP_ROWS = 1000
+ENDINGS = b"""!"#$%&()*+,-./:;<=>?@[]^_`{|}~"""
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
@@ -41,7 +42,9 @@ class _WordTokens:
     """Token ids of texts, from the ids of their distinct words.
 
     The vocabulary's normaliser and pre-tokeniser never look across white
-    space, so a text has the ids of its words.
+    space, so a text has the ids of its words; and between a letter or digit
+    and the punctuation that ends a word they always cut, so that a word has
+    the ids of its stem and of its ending.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -55,16 +58,27 @@ class _WordTokens:
         self._empty()
 
     def _empty(self) -> None:
-        self.index, self.ids = WordIndex(), Ragged(np.uint32)
+        self.index, self.stems, self.ids = WordIndex(), WordIndex(), Ragged(np.uint32)
+        self.parts = np.zeros((0, 2), np.int64)  # of each word: stem and ending
+
+    def _split(self, word: bytes) -> tuple[int, int]:
+        """A word's stem and its closing punctuation, where the pre-tokeniser cuts too."""
+        word = word.lower()
+        stem = word.rstrip(ENDINGS)
+        if not stem[-1:].isalnum() and not stem.decode().lower()[-1:].isalnum():
+            stem = word
+        return self.stems[stem], self.stems[word[len(stem) :]]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MOST_WORDS:
             self._empty()
         numbers = [word_numbers(self.index, t.split()) for t in texts]
         new, self.index.new = self.index.new, []
+        self.parts = np.concatenate([self.parts, np.array([self._split(w) for w in new], np.int64).reshape(-1, 2)])
+        new, self.stems.new = self.stems.new, []
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         self.ids.append([e.ids for e in encoded])
-        return [self.ids.gather(n) for n in numbers]
+        return [self.ids.gather(self.parts[n].ravel()) for n in numbers]
 
 
 @cache

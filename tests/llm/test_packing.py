@@ -15,6 +15,7 @@ TEXTS = [
     "a\x1cb\x85c d e <|endoftext|> f",
     "word " * 6000,
     "word " * 6000,
+    "İ= Aİ, \u0338é! x\u0338= ²! Ⅷ. (ok) ... a.b,c. it's's",
     "don't we'll é ́x " * 50,
 ]
 
