@@ -12,6 +12,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP2_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) < 2 then [ws] else list_transform(range(1, len(ws)), lambda i: ws[i:i + 1]) end) as shingle
+  from w where len(ws) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), l as (
+  select x, y from p join n a on x = a.doc_id join n b on y = b.doc_id where 100 * shared >= 80 * (a.n + b.n - shared)
+), e as (
+  select x, y from l union all select y, x from l
+), reach as (
+  select doc_id as node, doc_id as low from documents
+  union
+  select e.y, reach.low from reach join e on e.x = reach.node
+), c as (
+  select node, min(low) as component_id from reach group by node
+)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n on n.doc_id = d.doc_id join c on c.node = d.doc_id
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm import langid
 
@@ -190,6 +222,7 @@ select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_language_id": op3_language_id,
         "op4_chat_format": op4_chat_format,
         "op5_quality": op5_quality,
@@ -202,6 +235,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_near_duplicates": OP2_SQL,
         "op4_chat_format": OP4_SQL,
         "op6_warc": OP6_SQL,
         "op7_url_filter": OP7_SQL,
