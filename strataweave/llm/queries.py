@@ -188,6 +188,12 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m w
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm.substrings import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents")).drop("rest")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.packing import pack
 
@@ -228,6 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": op5_quality,
         "op6_warc": op6_warc,
         "op7_url_filter": op7_url_filter,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_pack": op9_pack,
         "op10_exact_topk": op10_exact_topk,
     }
