@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataweave.llm.pieces import encode
+
+    return encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.minhash import near_duplicates
 
@@ -228,6 +234,7 @@ select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_language_id": op3_language_id,
         "op4_chat_format": op4_chat_format,
