@@ -10,6 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes per Arrow batch for operators that hold whole texts in Python.
 TEXT_ROWS = 1000
@@ -55,6 +56,17 @@ def with_text_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
 
 
+def documents(docs: DataFrame, *, carry: bool = False) -> DataFrame:
+    """doc_id and text, and with ``carry`` the whole row beside them as ``row``."""
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *whole)
+
+
+def carried(df: DataFrame, carry: bool) -> str:
+    """The type of the carried column, for the schema of what comes out."""
+    return f", row {df.schema['row'].dataType.simpleString()}" if carry else ""
+
+
 class WordIndex(dict):
     """Number of each distinct word; words seen first are listed in ``new``."""
 

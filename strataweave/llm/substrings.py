@@ -38,17 +38,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import text_bytes, with_text_batches, written
+from strataweave.llm.common import carried, documents, text_bytes, with_text_batches, written
 
 LENGTH = 100
 GRAM = 30
 #: Different fragments of an anchor in one task from which it isn't gathered any more.
 HEAVY = 64
 #: Bytes of text that a task works on at once, and the most that one suffix array takes.
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+#: Entries that a task holds before it sends them to their buckets.
+HELD_ENTRIES = 500_000
 #: Bytes of input per bucket of anchors.
-BUCKET_BYTES = 150_000_000
+BUCKET_BYTES = 64_000_000
 LEAST_BUCKETS = 64
 NULL_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 24
@@ -192,6 +194,7 @@ class _Block:
 
     def __init__(self, buckets: int) -> None:
         self.buckets = buckets
+        self.held: list[tuple] = []
         self._empty()
 
     def _empty(self) -> None:
@@ -246,13 +249,22 @@ class _Block:
         # a mark is an entry of no windows
         sent = np.concatenate([kept[~heavy], marks])
         sizes = np.concatenate([counts[kept[~heavy]], np.zeros(len(marks), np.int64)])
-        bucket = (anchor[sent] % np.uint64(self.buckets)).astype(np.int64)
+        self.held.append((anchor[sent], content[sent], doc[sent], start[sent], sizes))
+        if sum(len(x[0]) for x in self.held) >= HELD_ENTRIES:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        """What is held, bucket by bucket."""
+        if not self.held:
+            return
+        parts = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        self.held = []
+        bucket = (parts[0] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sent, sizes, bucket = sent[order], sizes[order], bucket[order]
+        parts, bucket = [p[order] for p in parts], bucket[order]
         edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            own = sent[a:b]
-            yield self._row(int(bucket[a]), ASK, _packed((anchor[own], content[own], doc[own], start[own], sizes[a:b])))
+            yield self._row(int(bucket[a]), ASK, _packed([p[a:b] for p in parts]))
 
     @staticmethod
     def _row(bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
@@ -272,6 +284,7 @@ def _anchored(buckets: int):
                     yield from block.add(doc, text)
         if block.parts:
             yield from block.flush()
+        yield from block.send()
 
     return anchors
 
@@ -426,7 +439,9 @@ def _remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((len(text), len(text) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest))
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest"])
+        more = batch.select([n for n in batch.schema.names if n == "row"])
+        arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *more.columns]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest", *more.schema.names])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -456,9 +471,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes (rest) of every document."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = repeated_spans(source).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")).withColumnRenamed("doc_id", "key_id")
-    keyed = source.withColumn("key_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(cuts, "key_id", "left").select("doc_id", "text", "cuts")
-    return keyed.mapInArrow(_remains, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary")
+def without_repeats(docs: DataFrame, *, carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes (rest) of every document; with ``carry`` also the row."""
+    source = documents(docs, carry=carry)
+    cuts = repeated_spans(source.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")).withColumnRenamed("doc_id", "key_id")
+    keyed = source.withColumn("key_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(cuts, "key_id", "left").drop("key_id")
+    return keyed.mapInArrow(_remains, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary" + carried(source, carry))

@@ -67,7 +67,7 @@ def test_long_texts_are_worked_on_in_stretches():
     old, substrings.BLOCK_BYTES = substrings.BLOCK_BYTES, 4096
     try:
         block = substrings._Block(1)
-        found = [x for x in block.add(7, text)] + list(block.flush())
+        found = [*block.add(7, text), *block.flush(), *block.send()]
     finally:
         substrings.BLOCK_BYTES = old
     rows = [r for x in found for r in substrings._resolved(iter([x.select(["kind", "entries"])]))]
