@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import with_text_batches
+from strataweave.llm.common import carried, documents, with_text_batches
 
 BITS = 1 << 15
 MOST_GRAM = 4
@@ -158,16 +158,17 @@ def _predicted(model: Model | None):
                 scores[own] = score
                 for i, b in zip(own, best, strict=True):
                     languages[i] = model.languages[b]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            rest = batch.select([n for n in batch.schema.names if n == "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores), *rest.columns], ["doc_id", "lang_pred", "score", *rest.schema.names])
 
     return predict
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score of every whole text."""
+def predict(docs: DataFrame, model: Model | None, *, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score of every whole text; with ``carry`` also the row."""
     with_text_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    source = documents(docs, carry=carry)
+    return source.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double" + carried(source, carry))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, text_bytes, with_text_batches, word_numbers, written
+from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, text_bytes, with_text_batches, word_numbers, written
 
 CAPACITY = 4096
 CLOSING_ID = 2
@@ -107,7 +107,7 @@ def _cut(vocabulary: str, capacity: int):
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of the pieces of every text."""
     with_text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(vocabulary, capacity), _PIECES)
+    return documents(docs).mapInArrow(_cut(vocabulary, capacity), _PIECES)
 
 
 def plan_packs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

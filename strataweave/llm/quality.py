@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, text_bytes, with_text_batches, word_numbers
+from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, carried, documents, text_bytes, with_text_batches, word_numbers
 
 MIN_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -212,16 +212,18 @@ def _measured(vocabularies: tuple[str, str, str]):
                     )
                 )
             columns = list(zip(*rows, strict=True)) or [[]] * len(_FIELDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
+            rest = batch.select([n for n in batch.schema.names if n == "row"])
+            arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, *rest.columns], [*(n for n, _ in _FIELDS), *rest.schema.names])
 
     return measure
 
 
-def judge_quality(docs: DataFrame, *, pieces: str, ranks: str, pattern: str, bands: Mapping[str, Band] = BANDS) -> DataFrame:
-    """Measures, base_failed and kept of every document (doc_id, text)."""
+def judge_quality(docs: DataFrame, *, pieces: str, ranks: str, pattern: str, bands: Mapping[str, Band] = BANDS, carry: bool = False) -> DataFrame:
+    """Measures, base_failed and kept of every document (doc_id, text); with ``carry`` also the row."""
     with_text_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = source.mapInArrow(_measured((pieces, ranks, pattern)), _SCHEMA)
+    source = documents(docs, carry=carry)
+    measured = source.mapInArrow(_measured((pieces, ranks, pattern)), _SCHEMA + carried(source, carry))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     fits = F.lit(False)
     for script, b in bands.items():

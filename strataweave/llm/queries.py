@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.pieces import encode
 
-    return encode(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ select conv_id, count(*)::bigint as n_turns,
 from w group by conv_id
 """
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -115,7 +115,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_vocabularies() -> dict[str, str]:
     import public_tokenizers
 
-    return {"pieces": _vocabulary("piece_bpe_32k.model"), "ranks": _vocabulary("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"pieces": vocabulary("piece_bpe_32k.model"), "ranks": vocabulary("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
