@@ -885,6 +885,52 @@ def row_id_from_float(spark, sf_dir):
     return spark.createDataFrame(rows, "n int, value double").select("n", values.row_id_of_float(v).alias("wide"), values.row_id_of_float(v, single=True).alias("narrow"))
 
 
+# sources and sinks: what was written, read again
+
+
+@query()
+def msgpack_roundtrip(spark, sf_dir):
+    from strataweave.sources import msgpack_rows
+
+    rows = _orders(spark, sf_dir).select(F.concat(F.lit("part-"), (F.col("row_id") % 4).cast("string")).alias("asset"), F.col("row_id").alias("row_pos"), "row_id", "cents", "status")
+    packed = rows.mapInArrow(_pack_orders, "asset string, row_pos long, raw binary")
+    files = msgpack_rows.write_tables(packed)
+    back = msgpack_rows.read_tables(files)
+    value = lambda name: F.get(F.filter("fields", lambda f: f["name"] == name), F.lit(0))["value"]
+    return back.select("asset", "row_id", value("cents").cast("long").alias("cents"), value("status").alias("status"))
+
+
+def _pack_orders(batches):
+    import pyarrow as pa
+
+    from strataweave.sources.msgpack_rows import pack_value
+
+    for batch in batches:
+        rows = batch.to_pylist()
+        raw = [pack_value({"m_id": r["row_id"], "cents": r["cents"], "status": r["status"]}) for r in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("asset"), batch.column("row_pos"), pa.array(raw, pa.binary())], ["asset", "row_pos", "raw"])
+
+
+SQL["msgpack_roundtrip"] = (
+    f"with {P_SQL} select 'part-' || (row_id % 4) as asset, row_id, cents, status from o"
+)
+
+
+@query(f"with {DOC_SQL} select path, size, sha256 from g where input_index = 0")
+def archive_roundtrip(spark, sf_dir):
+    from strataweave.sources import archive
+    from strataweave.sources.folders import new_folder
+
+    archive.register(spark)
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    folder = new_folder(spark, "archive")
+    rows = docs.select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    # one file has one order, so one task streams the sorted rows; its memory holds one entry
+    rows.orderBy(F.lower("path")).coalesce(1).write.format("overlay_archive").mode("append").save(folder)
+    return spark.read.format("overlay_archive").load(folder).select("path", F.col("logical").alias("size"), "sha256")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
