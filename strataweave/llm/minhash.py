@@ -6,9 +6,10 @@ into bands, and documents that share a band's value share a bucket. No bucket
 is expanded into all its pairs: in each of STAR_TURNS turns every member that
 isn't yet in the group of its bucket's star (a member that changes from turn to
 turn) is tested against its most similar star, and the links found merge
-groups. What then still lies apart from its bucket's star is tested against
-the whole rest of the bucket, so that no link between members of a bucket is
-lost. Every link is confirmed on the full sets.
+groups. What then still lies apart from its bucket's star, the guests of the
+star's group, is compared with all guests and members of that group, block by
+block, so that no link between members of a bucket is lost. Every link is
+confirmed on the full sets.
 
 Two sets of similarity 0.8 share none of the BANDS buckets with a probability
 of (1 - 0.8 ** ROWS) ** BANDS = 5e-8; those that agree in fewer than
@@ -35,12 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, WordIndex, text_bytes, with_text_batches, word_numbers, written
+from strataweave.llm.common import MOST_WORDS, WordIndex, documents, text_bytes, with_text_batches, word_numbers, written
 from strataweave.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
 STAR_TURNS = 3
 LEAST_AGREEMENT = 0.6
+#: Sets and bytes of a block, about.
+BLOCK_SETS, BLOCK_BYTES = 256, 4 << 20
+_COLUMNS = 4096
 
 #: A prime, so that ``start + round * step`` is a permutation of the slots.
 SLOTS = 131
@@ -185,6 +189,87 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(_linked(percent), "x long, y long")
 
 
+def _apart(members: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+    """Members of buckets that aren't in the group of their bucket's star of this turn."""
+    placed = members.withColumn("component", F.col("rep"))
+    if groups is not None:
+        placed = members.join(groups, "rep", "left").select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"))
+    chance = F.xxhash64("rep", F.lit(turn)).alias("chance")
+    stars = placed.groupBy("key").agg(F.min(F.struct(chance, "rep", "signature", "component")).alias("star"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(stars.where("low <> high").select("key", "star"), "key").where(F.col("component") != F.col("star.component"))
+
+
+def _block_pairs(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = ([(x["rep"], np.frombuffer(x["elements"], np.uint64)) for x in row[side]] for side in ("guests", "others"))
+                i, j = _similar([s for _, s in a], [s for _, s in b], percent)
+                if row["connected"]:  # the others are one group already: a link to any of them is as good as all
+                    i, first = np.unique(i, return_index=True)
+                    j = j[first]
+                pairs = _forest([(a[p][0], b[q][0]) for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.int64()) for n in (0, 1)], ["x", "y"])
+
+    return compare
+
+
+def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As few of the pairs as connect what all of them connect."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    kept = []
+    for x, y in pairs:
+        a, b = root(x), root(y)
+        if a != b:
+            above[a] = b
+            kept.append((x, y))
+    return kept
+
+
+def _similar(a: list, b: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions in two blocks of sorted sets that are similar enough, by products of presence matrices."""
+    sets = [*a, *b]
+    sizes = np.array([len(s) for s in sets])
+    elements = np.concatenate(sets)
+    order = np.argsort(elements, kind="stable")
+    row, ordered = np.repeat(np.arange(len(sets)), sizes)[order], elements[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    column = np.cumsum(new) - 1
+    # only elements of two sets or more count
+    several = np.bincount(column)[column] > 1
+    row, column = row[several], np.unique(column[several], return_inverse=True)[1]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + 1 + _COLUMNS, _COLUMNS))
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        present = np.zeros((len(sets), _COLUMNS), np.float32)
+        present[row[low:high], column[low:high] - i * _COLUMNS] = 1
+        shared += present[: len(a)] @ present[len(a) :].T
+    total = sizes[: len(a), None] + sizes[None, len(a) :]
+    return np.nonzero(100 * shared.astype(np.int64) >= percent * (total - shared.astype(np.int64)))
+
+
+def _block_links(sides: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the guests of each main group and its guests and hosts, in blocks of bounded size."""
+    spark = sides.sparkSession
+    sized = sides.join(sets, "rep").select("main", "guest", "rep", "elements", F.octet_length("elements").alias("size"))
+    salts = sides.join(sets.select("rep", F.octet_length("elements").alias("size")), "rep").groupBy("main", "guest")
+    salts = salts.agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_BYTES)).alias("salts"))
+    salted = sized.join(salts, ["main", "guest"]).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")))
+    blocks = written(salted.groupBy("main", "guest", "salt").agg(F.collect_list(F.struct("rep", "elements")).alias("block")), "blocks")
+    guests = blocks.where("guest").select("main", F.col("block").alias("guests"))
+    pairs = guests.join(blocks.select("main", F.col("block").alias("others"), (~F.col("guest")).alias("connected")), "main").select("guests", "others", "connected")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    found = written(pairs.mapInArrow(_block_pairs(percent), "x long, y long"), "block-links")
+    with_text_batches(spark)
+    return found.distinct()
+
+
 def _components(links: DataFrame) -> DataFrame:
     found = connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return written(found.select(F.col("node").alias("rep"), F.col("component")), "groups")
@@ -194,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     """doc_id, n_shingles, component_id, kept of every document (doc_id, text)."""
     spark = docs.sparkSession
     with_text_batches(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = documents(docs)
     sketches = written(source.mapInArrow(_sketched(width), "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"), "sketches")
 
     # equal sets: one class, whose smallest document stands for all
@@ -209,33 +294,29 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     texts = source.join(needed, source.doc_id == needed.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = written(texts.mapInArrow(_set_blobs(width), "rep long, elements binary").dropDuplicates(["rep"]), "sets")
 
-    links, groups, turn, final = None, None, 0, False
-    while not final:
-        final = turn == STAR_TURNS
-        placed = members.withColumn("component", F.col("rep"))
-        if groups is not None:
-            placed = members.join(groups, "rep", "left").select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"))
-        chance = F.xxhash64("rep", F.lit(turn))
-        star = placed.groupBy("key").agg(
-            F.min(F.struct(chance.alias("chance"), "rep", "signature", "component")).alias("star"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        star = star.where("low <> high").select("key", "star")
-        against = placed.join(star, "key").where(F.col("component") != F.col("star.component"))
-        if not final:
-            found = against.select(F.col("rep").alias("x"), F.col("star.rep").alias("y"), "signature", F.col("star.signature").alias("other_signature"))
-            found = found.mapInArrow(_alike, _ALIKE)
-            pairs = found.groupBy("x").agg(F.max_by("y", F.struct("agreement", "y")).alias("y"))
-        else:
-            # whatever the stars left apart in a bucket meets the rest of the bucket
-            rest = placed.join(star.select("key"), "key").select("key", F.col("rep").alias("y"), F.col("component").alias("other"), F.col("signature").alias("other_signature"))
-            apart = against.select("key", F.col("rep").alias("x"), "component", "signature", F.col("star.component").alias("main"))
-            both = (F.col("component") != F.col("other")) & ((F.col("other") == F.col("main")) | (F.col("x") < F.col("y")))
-            found = apart.join(rest, "key").where(both).select("x", "y", "signature", "other_signature")
-            pairs = found.mapInArrow(_alike, _ALIKE).select("x", "y").distinct()
-        new = written(_verified(pairs, sets, percent), "links")
+    links, groups = None, None
+    for turn in range(STAR_TURNS):
+        against = _apart(members, groups, turn)
+        found = against.select(F.col("rep").alias("x"), F.col("star.rep").alias("y"), "signature", F.col("star.signature").alias("other_signature"))
+        best = found.mapInArrow(_alike, _ALIKE).groupBy("x").agg(F.max_by("y", F.struct("agreement", "y")).alias("y"))
+        new = written(_verified(best, sets, percent), "links")
+        if new.isEmpty():
+            break
         links = new if links is None else links.union(new)
         groups = _components(links)
-        turn = STAR_TURNS if new.isEmpty() else turn + 1
+
+    # what the stars left apart in a bucket meets the rest of the bucket, and more: the star's whole group
+    against = _apart(members, groups, STAR_TURNS)
+    sides = against.select(F.col("star.component").alias("main"), "rep", F.lit(True).alias("guest"))
+    hosts = against.select(F.col("star.component").alias("main")).distinct()
+    if groups is None:
+        hosts = hosts.withColumn("rep", F.col("main"))
+    else:
+        alone = hosts.select("main", F.col("main").alias("rep"))
+        hosts = hosts.join(groups.withColumnRenamed("component", "main"), "main").select("main", "rep").union(alone)
+    sides = written(sides.union(hosts.withColumn("guest", F.lit(False))).distinct(), "sides")
+    new = written(_block_links(sides, sets, percent), "links")
+    groups = _components(new if links is None else links.union(new))
 
     rep_of = classes.select("digest", "rep").join(groups, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(rep_of, "digest", "left")
