@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
@@ -12,44 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.sources.folders import new_folder, shared_folder, written
+
+__all__ = ["new_folder", "shared_folder", "written"]
+
 #: Rows and bytes per Arrow batch for operators that hold whole texts in Python.
 TEXT_ROWS = 1000
 TEXT_BYTES = 32 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests, notebooks) gets a
-    temporary folder; a cluster without it is an error, since a machine-local
-    folder would hide one executor's files from the others.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="strataweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that nothing has used before."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_text_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
@@ -81,7 +50,7 @@ class WordIndex(dict):
 
 
 #: A word table is emptied between batches once it holds this many words.
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 
 
 class Ragged:
@@ -110,3 +79,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def word_numbers(index: WordIndex, words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+
+
+_held: dict[tuple, object] = {}
+
+
+def held(make: Callable, *args):
+    """``make(*args)``, kept in this Python worker for its next tasks; what another operator kept goes."""
+    key = (make.__module__, make.__qualname__, *args)
+    if key not in _held:
+        _held.clear()
+        _held[key] = make(*args)
+    return _held[key]

@@ -6,7 +6,8 @@
    one anchor are a fragment. Tasks drop what they have seen earlier themselves,
    and send of each fragment its hashes and place to the bucket of its anchor.
 2. Buckets. Equal fragments: all but the first are cut. The first ones of an
-   anchor with several different fragments go on, with their bytes.
+   anchor with several different fragments go on, with their bytes, if they
+   share the whole longer side that a common window would have.
 3. Suffix arrays. Per shard of such fragments the Burrows-Wheeler transform is
    extended backward breadth first from the empty string, interval by interval;
    each round settles the places where the common prefix of neighbours has the
@@ -31,24 +32,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import carried, documents, text_bytes, with_text_batches, written
+from strataweave.llm.common import carried, documents, held, text_bytes, with_text_batches, written
 
 LENGTH = 100
 GRAM = 30
+#: Half of what a window has beside its anchor: all of one side or the other of two equal windows is equal.
+SIDE = (LENGTH - GRAM) // 2
 #: Different fragments of an anchor in one task from which it isn't gathered any more.
 HEAVY = 64
 #: Bytes of text that a task works on at once, and the most that one suffix array takes.
-BLOCK_BYTES = 2 << 20
-SHARD_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Entries that a task holds before it sends them to their buckets.
-HELD_ENTRIES = 500_000
+HELD_ENTRIES = 250_000
 #: Bytes of input per bucket of anchors.
 BUCKET_BYTES = 64_000_000
 LEAST_BUCKETS = 64
@@ -93,15 +95,14 @@ class _Rolling:
         return _mixed((prefixes[ends] - prefixes[starts]) * self.inverses[starts])
 
 
-@cache
-def _rolling(seed: int) -> _Rolling:
-    return _Rolling(seed)
+def _rolling() -> list[_Rolling]:
+    return [_Rolling(seed) for seed in (1, 2, 3)]
 
 
 def _fragments(data: np.ndarray, ends: np.ndarray):
-    """Fragments of texts that lie one after the other: start, windows, anchor, hash."""
-    rolling, n = _rolling(1), len(data)
-    nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    """Fragments of texts that lie one after the other: start, windows, anchor, hash, hashes of both sides."""
+    rolling, n = held(_rolling)[0], len(data)
+    nothing = *(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)), np.zeros((2, 0), np.uint16)
     if n < LENGTH:
         return nothing
     prefixes = rolling.prefixes(data)
@@ -128,13 +129,20 @@ def _fragments(data: np.ndarray, ends: np.ndarray):
     # a fragment ends before the next one, or where windows leave the text
     left = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
     stops = np.minimum(np.append(starts[1:], len(place)), left[np.searchsorted(left, starts, side="right")])
-    return starts, stops - starts, hashes[place[starts]], rolling.of(prefixes, starts, stops + LENGTH - 1)
+    at = place[starts]
+    # 0 where the text ends before the side does
+    text = np.searchsorted(ends, starts, side="right")
+    sides = np.zeros((2, len(at)), np.uint16)
+    for side, low, high in ((0, at - SIDE, at + GRAM), (1, at, at + GRAM + SIDE)):
+        whole = (low >= np.append(0, ends)[text]) & (high <= ends[text])
+        sides[side, whole] = rolling.of(prefixes, low[whole], high[whole]) % np.uint64(65535) + np.uint64(1)
+    return starts, stops - starts, hashes[at], rolling.of(prefixes, starts, stops + LENGTH - 1), sides
 
 
 def _window_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray):
     """Both hashes of all windows of fragments of ``data``, one after the other."""
     at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    hashes = [_rolling(seed).of(_rolling(seed).prefixes(data), at, at + LENGTH).view(np.int64) for seed in (2, 3)]
+    hashes = [r.of(r.prefixes(data), at, at + LENGTH).view(np.int64) for r in held(_rolling)[1:]]
     return at, hashes
 
 
@@ -151,7 +159,8 @@ def _first(*keys: np.ndarray, doc: np.ndarray, start: np.ndarray):
     return order, new, later
 
 
-_PARTS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8)
+#: Anchor, content, document, start, windows, sides.
+_PARTS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint16, np.uint16)
 
 
 def _packed(parts) -> bytes:
@@ -217,7 +226,7 @@ class _Block:
         """Rows (bucket, kind, blob): entries for the buckets, cuts and heavy windows."""
         data = np.frombuffer(b"".join(self.parts), np.uint8)
         ends = np.cumsum([len(p) for p in self.parts]).astype(np.int64)
-        starts, counts, anchor, content = _fragments(data, ends)
+        starts, counts, anchor, content, sides = _fragments(data, ends)
         text = np.searchsorted(ends, starts, side="right")
         begin = np.append(0, ends)[:-1]
         doc = np.array(self.docs, np.int64)[text] if len(text) else np.zeros(0, np.int64)
@@ -249,7 +258,7 @@ class _Block:
         # a mark is an entry of no windows
         sent = np.concatenate([kept[~heavy], marks])
         sizes = np.concatenate([counts[kept[~heavy]], np.zeros(len(marks), np.int64)])
-        self.held.append((anchor[sent], content[sent], doc[sent], start[sent], sizes))
+        self.held.append((anchor[sent], content[sent], doc[sent], start[sent], sizes, *sides[:, sent]))
         if sum(len(x[0]) for x in self.held) >= HELD_ENTRIES:
             yield from self.send()
 
@@ -291,7 +300,7 @@ def _anchored(buckets: int):
 
 def _resolved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bucket's entries: cuts, and the first fragments of anchors that have several."""
-    held = []
+    gathered = []
     for batch in rows:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("entries").to_pylist(), strict=True):
             if kind == CUT:
@@ -300,23 +309,28 @@ def _resolved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, start, h1, h2 = np.frombuffer(blob, np.int64).reshape(4, -1)
                 yield _found(WINDOW, doc, start, np.full(len(doc), LENGTH), h1, h2)
             else:
-                held.append(list(_unpacked(blob)))
-    if not held:
+                gathered.append(list(_unpacked(blob)))
+    if not gathered:
         return
-    anchor, content, doc, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    held.clear()
+    anchor, content, doc, start, n, *sides = (np.concatenate(x) for x in zip(*gathered, strict=True))
+    gathered.clear()
     _, which, many = np.unique(anchor, return_inverse=True, return_counts=True)
     marked = np.zeros(len(many), bool)
     marked[which[n == 0]] = True
     used = ((many > 1) | marked)[which] & (n > 0)
     heavy = marked[which][used]
     anchor, content, doc, start, n = anchor[used], content[used], doc[used], start[used].astype(np.int64), n[used].astype(np.int64)
+    sides = [s[used] for s in sides]
     order, new, later = _first(anchor, content, doc=doc, start=start)
     cut = order[later]
     yield _cuts(doc[cut], start[cut], start[cut] + n[cut] + LENGTH - 1)
     one = order[new]
-    _, which, many = np.unique(anchor[one], return_inverse=True, return_counts=True)
-    windows, several = heavy[one], (many > 1)[which] & ~heavy[one]
+    # fragments can share a window only if they share the whole side of the anchor that has most of it
+    several = np.zeros(len(one), bool)
+    for s in sides:
+        _, which, many = np.unique(_mixed(anchor[one] + s[one]), return_inverse=True, return_counts=True)
+        several |= (many > 1)[which] & (s[one] > 0)
+    windows, several = heavy[one], several & ~heavy[one]
     for kind, own in ((ASK_WINDOWS, one[windows]), (ASK, one[several])):
         yield _found(kind, doc[own], start[own], n[own], anchor[own].view(np.int64))
 
@@ -347,16 +361,23 @@ def _fetched(shards: int):
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first ``depth`` symbols, or a few more (prefix doubling)."""
     rank, n = symbols.astype(np.int64), len(symbols)
-    done = 1
+    bits = np.int64(n.bit_length())
+    places, done = np.arange(n), 1
     while True:
         ahead = np.zeros(n, np.int64)
         ahead[: n - done] = rank[done:] + 1
-        key = rank * (n + 300) + ahead
-        order = np.argsort(key)
-        key = key[order]
-        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        key = (rank << bits) | ahead  # symbols are numbered below n, so both fit
+        if 3 * bits < 64:  # a plain sort with the place in the low bits is faster than sorting places
+            key = np.sort((key << bits) | places)
+            order = key & ((1 << bits) - 1)
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        ranks = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        rank[order] = ranks
         done *= 2
-        if done >= depth or rank[order[-1]] == n - 1:
+        if done >= depth or ranks[-1] == n - 1:
             return order
 
 
@@ -381,8 +402,9 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     order = suffix_order(symbols, length + 1)
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    before = order - 1  # the suffix one symbol longer; of the first, the last
-    step, symbol = back[before], symbols[before]
+    step = back[order - 1]  # where the suffix one symbol longer stands; of the first, the last
+    leading = symbols[order]
+    bits = np.int64(n.bit_length())
 
     settled = np.zeros(n + 1, bool)
     settled[[0, n]] = True
@@ -390,10 +412,10 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     for _ in range(length):
         if not len(rows):
             break
-        # of each interval, the rows before which a symbol stands lie side by side
-        at = step[rows]
-        sort = np.lexsort((at, interval))
-        at, interval, ahead = at[sort], interval[sort], symbol[rows][sort]
+        # of each interval, the rows that a symbol was put before lie side by side
+        key = np.sort((interval << bits) | step[rows])
+        at, interval = key & ((1 << bits) - 1), key >> bits
+        ahead = leading[at]
         new = np.append(True, (interval[1:] != interval[:-1]) | (ahead[1:] != ahead[:-1]))
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
