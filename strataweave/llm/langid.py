@@ -19,14 +19,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import carried, documents, with_text_batches
+from strataweave.llm.common import carried, documents, held, with_text_batches
 
 BITS = 1 << 15
 MOST_GRAM = 4
@@ -76,7 +75,7 @@ class Model:
 
     def score(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row its best language's number and score."""
-        landmarks, weights = _unpacked(self)
+        landmarks, weights = held(_unpacked, self)
         outputs = SHARPNESS * (kernel(rows, landmarks) @ weights)
         shares = np.exp(outputs - outputs.max(axis=1, keepdims=True))
         shares /= shares.sum(axis=1, keepdims=True)
@@ -84,7 +83,6 @@ class Model:
         return best, shares[np.arange(len(best)), best]
 
 
-@cache
 def _unpacked(model: Model) -> tuple[np.ndarray, np.ndarray]:
     landmarks = np.unpackbits(np.frombuffer(model.landmarks, np.uint8)).reshape(-1, BITS)
     return landmarks, np.frombuffer(model.weights).reshape(len(landmarks), len(model.languages))

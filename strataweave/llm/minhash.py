@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, WordIndex, documents, text_bytes, with_text_batches, word_numbers, written
+from strataweave.llm.common import MOST_WORDS, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers, written
 from strataweave.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -113,14 +112,11 @@ class _Shingles:
         return np.unique(mixed(out))
 
 
-@cache
-def _shingles() -> _Shingles:
-    return _Shingles()  # one for all tasks of a Python worker
 
 
 def _sketched(width: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = _shingles()
+        shingles = held(_Shingles)
         for batch in batches:
             sets = shingles.sets(text_bytes(batch.column("text")), width)
             signatures = [super_minhash(s) for s in sets]
@@ -149,7 +145,7 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 def _set_blobs(width: int):
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = _shingles()
+        shingles = held(_Shingles)
         for batch in batches:
             sets = shingles.sets(text_bytes(batch.column("text")), width)
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "elements"])

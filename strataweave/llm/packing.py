@@ -22,14 +22,13 @@ import heapq
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, text_bytes, with_text_batches, word_numbers, written
+from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers, written
 
 CAPACITY = 4096
 CLOSING_ID = 2
@@ -81,14 +80,9 @@ class _WordTokens:
         return [self.ids.gather(self.parts[n].ravel()) for n in numbers]
 
 
-@cache
-def _words(vocabulary: str) -> _WordTokens:
-    return _WordTokens(vocabulary)  # one for all tasks of a Python worker
-
-
 def _cut(vocabulary: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(vocabulary)
+        words = held(_WordTokens, vocabulary)
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(text_bytes(batch.column(1))), strict=True):

@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, text_bytes, with_text_batches, word_numbers
+from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -234,14 +233,9 @@ class Encoder:
         return [self.ids.gather(n) for n in found]
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)  # one for all tasks of a Python worker
-
-
 def _encoded(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = held(Encoder, path)
         model = encoder.model
         for batch in batches:
             texts = text_bytes(batch.column("text"))
@@ -263,13 +257,13 @@ def _encoded(path: str):
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_crc32, exact and ids of every whole text."""
     with_text_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    source = documents(docs)
     return source.mapInArrow(_encoded(model), "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, exact boolean, ids array<int>")
 
 
 def _decoded(path: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _encoder(path).model
+        model = held(Encoder, path).model
         for batch in batches:
             texts = [None if x is None else model.decode(np.array(x, np.int32)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])

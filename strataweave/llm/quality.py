@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, carried, documents, text_bytes, with_text_batches, word_numbers
+from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, carried, documents, held, text_bytes, with_text_batches, word_numbers
 
 MIN_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -127,11 +126,6 @@ class _WordMeasures:
         return found
 
 
-@cache
-def _measures(pieces: str, ranks: str, pattern: str) -> _WordMeasures:
-    return _WordMeasures(pieces, ranks, pattern)  # one for all tasks of a Python worker
-
-
 #: Fixed odd numbers, one for each place in a window.
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -187,7 +181,7 @@ _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 def _measured(vocabularies: tuple[str, str, str]):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _measures(*vocabularies)
+        words = held(_WordMeasures, *vocabularies)
         for batch in batches:
             texts, rows = text_bytes(batch.column(1)), []
             for doc_id, text, found in zip(batch.column(0).to_pylist(), texts, words.rows(texts), strict=True):
