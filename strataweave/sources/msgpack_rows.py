@@ -271,3 +271,36 @@ def pack_value(value) -> bytes:
         return _listed(len(value), b"\x90") + b"".join(map(pack_value, value))
     size = bytes([0x80 | len(value)]) if len(value) < 16 else b"\xdf" + struct.pack(">I", len(value))
     return size + b"".join(pack_value(k) + pack_value(v) for k, v in value.items())
+
+
+def shell_digest(data: bytes) -> str:
+    """A digest of everything outside the row list; tables of one asset must share it to be merged."""
+    import hashlib
+
+    empty = build_table([], data)
+    return hashlib.sha256(empty).hexdigest()
+
+
+def integer_leaves(raw: bytes) -> list[int]:
+    """The integers above zero in a packed value; lists and the values of maps are entered, keys aren't."""
+    reader, found = _Reader(raw, 0, len(raw)), []
+
+    def walk(depth: int) -> None:
+        if depth > MOST_DEPTH:
+            raise TableError("nested too deeply")
+        kind, value = reader.head()
+        if kind == "integer" and value > 0:
+            found.append(value)
+        for _ in range(value if kind in ("array", "map") else 0):
+            if kind == "map":
+                reader.canonical(depth + 1)
+            walk(depth + 1)
+
+    walk(0)
+    return found
+
+
+def rebuild_row(fields: list[dict]) -> bytes:
+    """A row of exact field bytes, in their order."""
+    size = bytes([0x80 | len(fields)]) if len(fields) < 16 else b"\xde" + struct.pack(">H", len(fields))
+    return size + b"".join(pack_value(f["name"]) + f["raw"] for f in fields)
