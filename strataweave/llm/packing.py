@@ -33,6 +33,9 @@ from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, hel
 CAPACITY = 4096
 CLOSING_ID = 2
 GROUP_ROWS = 1000
+WORD_END = "</w>"
+#: Stems that are encoded as one text.
+LINE = 1000
 ENDINGS = b"""!"#$%&()*+,-./:;<=>?@[]^_`{|}~"""
 _PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -54,6 +57,9 @@ class _WordTokens:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.is_last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
+        for token, n in self.tokenizer.get_vocab().items():
+            self.is_last[n] = token.endswith(WORD_END)
         self._empty()
 
     def _empty(self) -> None:
@@ -68,6 +74,26 @@ class _WordTokens:
             stem = word
         return self.stems[stem], self.stems[word[len(stem) :]]
 
+    def _ids(self, stems: list[str]) -> list[list[int]]:
+        """The ids of each stem; stems of letters alone are encoded many at a time."""
+        out: list[list[int]] = [[]] * len(stems)
+        letters = [n for n, s in enumerate(stems) if s.lower().isalpha()]
+        lines = [letters[a : a + LINE] for a in range(0, len(letters), LINE)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(stems[n] for n in line) for line in lines], add_special_tokens=False)
+        rest = [n for n, s in enumerate(stems) if not s.lower().isalpha()]
+        for line, encoded in zip(lines, joined, strict=True):
+            ids = np.array(encoded.ids, np.int64)
+            ends = (np.flatnonzero(self.is_last[ids]) + 1).tolist()
+            if len(ends) != len(line):
+                rest += line
+                continue
+            ids = ids.tolist()
+            for n, a, b in zip(line, [0, *ends], ends, strict=False):
+                out[n] = ids[a:b]
+        for n, encoded in zip(rest, self.tokenizer.encode_batch_fast([stems[n] for n in rest], add_special_tokens=False), strict=True):
+            out[n] = encoded.ids
+        return out
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > MOST_WORDS:
             self._empty()
@@ -75,8 +101,7 @@ class _WordTokens:
         new, self.index.new = self.index.new, []
         self.parts = np.concatenate([self.parts, np.array([self._split(w) for w in new], np.int64).reshape(-1, 2)])
         new, self.stems.new = self.stems.new, []
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.ids.append([e.ids for e in encoded])
+        self.ids.append(self._ids([s.decode() for s in new]))
         return [self.ids.gather(self.parts[n].ravel()) for n in numbers]
 
 
