@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Sequence
 from itertools import chain
 
@@ -16,7 +19,7 @@ __all__ = ["new_folder", "shared_folder", "written"]
 
 #: Rows and bytes per Arrow batch for operators that hold whole texts in Python.
 TEXT_ROWS = 1000
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 8 << 20
 
 
 def with_text_batches(spark: SparkSession) -> None:
@@ -50,7 +53,7 @@ class WordIndex(dict):
 
 
 #: A word table is emptied between batches once it holds this many words.
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 
 class Ragged:
@@ -84,10 +87,19 @@ def word_numbers(index: WordIndex, words: list[bytes]) -> np.ndarray:
 _held: dict[tuple, object] = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library has a call for that."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(make: Callable, *args):
     """``make(*args)``, kept in this Python worker for its next tasks; what another operator kept goes."""
     key = (make.__module__, make.__qualname__, *args)
     if key not in _held:
         _held.clear()
+        _give_back()
         _held[key] = make(*args)
     return _held[key]

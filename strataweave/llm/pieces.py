@@ -34,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers
+from strataweave.llm.common import Ragged, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 _UNKNOWN_PENALTY = 10.0
+#: The unit table is emptied between batches once it holds this many units.
+MOST_UNITS = 800_000
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -225,7 +227,7 @@ class Encoder:
             texts = [m.library.normalize(t.decode()).replace(SPACE, " ").encode() for t in texts]
         elif m.prefix:
             texts = [b" " + t if t else t for t in texts]
-        if len(self.index) > MOST_WORDS:
+        if len(self.index) > MOST_UNITS:
             self._empty()
         found = [word_numbers(self.index, self.units.findall(t)) for t in texts]
         new, self.index.new = self.index.new, []

@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, carried, documents, held, text_bytes, with_text_batches, word_numbers
+from strataweave.llm.common import Ragged, WordIndex, carried, documents, held, text_bytes, with_text_batches, word_numbers
 
 MIN_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 WINDOW = 5
+#: The word table is emptied between batches once it holds this many words.
+MOST_WORDS = 200_000
 SYMBOLS = b"#*$%&|<>"
 #: From so many tokens on, more of them need not be more varied.
 FULL_TOKENS = 1024
