@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strataweave.plans import archives, resolve
 from strataweave.plans.engine import MergeError
+from strataweave.plans.rules import Profile, read_profiles
 from strataweave.sources import archive
 
 
@@ -25,8 +26,12 @@ def _inspect(spark: SparkSession, args: argparse.Namespace) -> None:
     found.groupBy("archive", "version", "mount").agg(F.count("*").alias("entries"), F.sum("logical").alias("bytes")).show(64, truncate=False)
 
 
+def _profiles(spark: SparkSession, args: argparse.Namespace) -> list[Profile]:
+    return read_profiles(spark, args.profiles) if args.profiles else []
+
+
 def _analyze(spark: SparkSession, args: argparse.Namespace) -> None:
-    made = archives.analyze_archives(spark, args.inputs)
+    made = archives.analyze_archives(spark, args.inputs, _profiles(spark, args))
     head = spark.createDataFrame([(made.plan_id, list(made.input_ids))], "plan_id string, inputs array<string>")
     head.write.mode("errorifexists").json(f"{args.out}/plan")
     made.conflicts.write.mode("errorifexists").json(f"{args.out}/conflicts")
@@ -35,7 +40,7 @@ def _analyze(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _merge(spark: SparkSession, args: argparse.Namespace) -> None:
-    made = archives.analyze_archives(spark, args.inputs)
+    made = archives.analyze_archives(spark, args.inputs, _profiles(spark, args))
     pairs = resolve.inline_choices(args.choose)
     choices = spark.createDataFrame(list(pairs.items()), "conflict_id string, variant_id string")
     if args.prefer is not None:
@@ -58,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
     for name, run, build in (
         ("inspect", _inspect, lambda p: (p.add_argument("archive"), p.add_argument("--rows", type=int, default=100))),
         ("verify", _verify, lambda p: p.add_argument("archive")),
-        ("analyze", _analyze, lambda p: (p.add_argument("inputs", nargs="+"), p.add_argument("--out", required=True))),
+        ("analyze", _analyze, lambda p: (p.add_argument("inputs", nargs="+"), p.add_argument("--out", required=True), p.add_argument("--profiles"))),
         (
             "merge",
             _merge,
@@ -69,6 +74,7 @@ def main(argv: list[str] | None = None) -> int:
                 p.add_argument("--plan-id", default=""),
                 p.add_argument("--choose", nargs="*", default=[]),
                 p.add_argument("--prefer", type=int),
+                p.add_argument("--profiles"),
             ),
         ),
     ):

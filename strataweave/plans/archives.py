@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.functions.ids import CONFLICT, VARIANT, stable_id, stable_id_of
@@ -23,6 +23,7 @@ from strataweave.operators.align import MOST_INPUTS
 from strataweave.plans import plan as plans
 from strataweave.plans.engine import MergeError
 from strataweave.plans.resolve import invalid, unresolved
+from strataweave.plans.rules import Profile, resolve_rules, rule_table
 from strataweave.sources import archive, msgpack_rows
 from strataweave.sources.folders import new_folder, written
 
@@ -72,24 +73,46 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("group_key", pa.string()), ("input_index", pa.int32()), ("shell", pa.string()), ("error", pa.string()), ("rows", rows)]))
 
 
+_GROUPS = "array<struct<id:string,fields:array<string>>>"
+
+
+def group_table(spark: SparkSession, profiles: Sequence[Profile]) -> DataFrame:
+    """rule, groups: the linked fields that each asset rule declares."""
+    rows = [(a.id, [(g.id, list(g.fields)) for g in a.groups]) for p in profiles for a in p.assets if a.groups]
+    return spark.createDataFrame(rows, f"rule string, groups {_GROUPS}")
+
+
+def _named(fields: Column, name: Column) -> Column:
+    return F.get(F.filter(fields, lambda x: x["name"] == name), F.lit(0))
+
+
+def _present(groups: Column, fields: Column, count) -> Column:
+    """Groups by how many of their fields a row has."""
+    names = F.transform(fields, lambda x: x["name"])
+    return F.filter(groups, lambda g: count(F.size(F.array_intersect(g["fields"], names)), F.size(g["fields"])))
+
+
 def field_units(rows: DataFrame) -> DataFrame:
-    """Units of rows of any shape: one per field but the key; their raw and canonical hashes, and the row's shape."""
-    f = F.posexplode(F.filter("fields", lambda x: x["name"] != msgpack_rows.ID_KEY)).alias("unit_pos", "f")
-    placed = rows.select("row", "input_index", f)
-    meaning = F.when(F.col("f.type").isin("integer", "float"), "number").otherwise(F.col("f.type"))
-    return placed.select(
-        "row",
-        "input_index",
-        F.concat(F.lit("field:"), F.col("f.name")).alias("unit_id"),
-        "unit_pos",
-        F.col("f.type").isin("array", "map").alias("atomic"),
-        F.sha2(F.col("f.raw"), 256).alias("raw_hash"),
-        F.sha2(F.concat_ws(":", meaning, F.col("f.value")), 256).alias("sem_hash"),
+    """Units of rows of any shape: linked fields first, then one per field left but the key; with raw and canonical hashes."""
+    meaning = lambda x: F.concat_ws(":", F.when(x["type"].isin("integer", "float"), "number").otherwise(x["type"]), x["value"])
+    whole = _present(F.col("groups"), F.col("fields"), lambda n, size: n == size)
+    grouped = F.flatten(F.transform(whole, lambda g: g["fields"]))
+    joined = lambda g, of: F.sha2(F.to_json(F.transform(g["fields"], lambda n: of(_named(F.col("fields"), n)))), 256)
+    linked = F.transform(whole, lambda g: F.struct(F.concat(F.lit("group:"), g["id"]).alias("unit_id"), F.lit(True).alias("atomic"), joined(g, lambda f: F.hex(f["raw"])).alias("raw_hash"), joined(g, meaning).alias("sem_hash")))
+    left = F.filter("fields", lambda x: (x["name"] != msgpack_rows.ID_KEY) & ~F.array_contains(grouped, x["name"]))
+    single = F.transform(
+        left, lambda x: F.struct(F.concat(F.lit("field:"), x["name"]).alias("unit_id"), x["type"].isin("array", "map").alias("atomic"), F.sha2(x["raw"], 256).alias("raw_hash"), F.sha2(meaning(x), 256).alias("sem_hash"))
     )
+    placed = rows.select("row", "input_index", F.posexplode(F.concat(linked, single)).alias("unit_pos", "u"))
+    return placed.select("row", "input_index", "unit_pos", "u.*")
 
 
-def analyze_archives(spark: SparkSession, paths: Sequence[str]) -> ArchivePlan:
-    """A plan for inputs in order; the first is the base."""
+def analyze_archives(spark: SparkSession, paths: Sequence[str], profiles: Sequence[Profile] = ()) -> ArchivePlan:
+    """A plan for inputs in order; the first is the base.
+
+    Profiles declare linked fields. An asset of which some row has a declared
+    group in part is chosen as a whole, with a warning.
+    """
     entries = written(read_archives(spark, paths), "entries")
     hashes = entries.groupBy("input_index").agg(F.sort_array(F.collect_list(F.struct("path", "sha256"))).alias("files"))
     named = hashes.select("input_index", F.sha2(F.to_json("files"), 256).alias("h")).orderBy("input_index").collect()  # 64 rows at most
@@ -101,15 +124,22 @@ def analyze_archives(spark: SparkSession, paths: Sequence[str]) -> ArchivePlan:
     tables = entries.where("component = '.uexp'").join(actions.where(F.col("action") == plans.MERGE), "group_key")
     parsed = written(tables.select("group_key", "input_index", "content").mapInArrow(_parsed, _TABLES), "parsed")
     whole = parsed.groupBy("group_key").agg(F.max("error").alias("error"), diff.differs("shell").alias("shells"))
+    asset = parsed.select(F.concat("group_key", F.lit(".uexp")).alias("path")).distinct()
+    rules = resolve_rules(asset, rule_table(spark, profiles)).join(F.broadcast(group_table(spark, profiles)), "rule")
+    groups_of = rules.select(F.regexp_replace("path", r"\.uexp\z", "").alias("group_key"), "groups")
+    parsed = parsed.join(groups_of, "group_key", "left").withColumn("groups", F.coalesce("groups", F.array().cast(_GROUPS)))
+    partly = F.exists("rows", lambda r: F.size(_present(F.col("groups"), r["fields"], lambda n, size: (n > 0) & (n < size))) > 0)
+    parts = parsed.groupBy("group_key").agg(F.bool_or(partly).alias("partly"))
+    whole = whole.join(parts, "group_key").withColumn("error", F.coalesce("error", F.when(F.col("partly"), "a row has linked fields in part")))
     failed = whole.where("error is not null or shells").select("group_key", F.coalesce("error", F.lit("the tables differ outside their rows")).alias("why"), F.col("error").isNull().alias("structure"))
     actions = written(actions.join(failed, "group_key", "left").withColumn("action", F.when(F.col("why").isNotNull(), plans.SELECT_OPAQUE).otherwise(F.col("action"))), "actions")
 
-    exploded = parsed.join(failed, "group_key", "left_anti").select("group_key", "input_index", F.inline("rows"))
+    exploded = parsed.join(failed, "group_key", "left_anti").select("group_key", "input_index", "groups", F.inline("rows"))
     base = parsed.groupBy("group_key").agg(F.min("input_index").alias("base"))
     # the base of an asset is its first provider; rows count inputs from there
     rows = exploded.join(base, "group_key").withColumn("row", F.struct("group_key", "row_id"))
     shape = F.to_json(F.transform("fields", lambda x: x["name"]))
-    rows = written(rows.select("row", "group_key", "row_id", "row_pos", "fields", (F.col("input_index") - F.col("base")).alias("input_index"), F.col("input_index").alias("input"), shape.alias("shape")), "rows")
+    rows = written(rows.select("row", "group_key", "row_id", "row_pos", "fields", "groups", (F.col("input_index") - F.col("base")).alias("input_index"), F.col("input_index").alias("input"), shape.alias("shape")), "rows")
 
     units = field_units(rows)
     differences = diff.unit_differences(units, "row")
@@ -145,6 +175,7 @@ def _tables_of(made: ArchivePlan, chosen: DataFrame) -> DataFrame:
     held = rows.groupBy("group_key", "row_id").agg(
         F.map_from_entries(F.collect_list(F.struct("input", "fields"))).alias("held"),
         F.min("input").alias("first"),
+        F.first("groups").alias("groups"),
         F.min("input_index").alias("index"),
         F.min(F.when(F.col("input_index") == 0, F.col("row_pos"))).alias("base_pos"),
     )
@@ -153,9 +184,9 @@ def _tables_of(made: ArchivePlan, chosen: DataFrame) -> DataFrame:
     whole = F.coalesce(F.try_element_at("picks", F.lit(diff.WHOLE_ROW)), F.try_element_at("picks", F.lit(diff.ADDED_ROW)), F.col("first"))
 
     def taken(f):
-        pick = F.try_element_at("picks", F.concat(F.lit("field:"), f["name"]))
-        donor = F.get(F.filter(F.try_element_at("held", pick), lambda x: x["name"] == f["name"]), F.lit(0))
-        return F.coalesce(donor, f)
+        group = F.get(F.filter("groups", lambda g: F.array_contains(g["fields"], f["name"])), F.lit(0))
+        unit = F.coalesce(F.concat(F.lit("group:"), group["id"]), F.concat(F.lit("field:"), f["name"]))
+        return F.coalesce(_named(F.try_element_at("held", F.try_element_at("picks", unit)), f["name"]), f)
 
     fields = F.transform(F.try_element_at("held", whole), taken)
     placed = joined.select("group_key", (F.col("index") > 0).alias("is_added"), F.coalesce("base_pos", "row_id").alias("place"), fields.alias("fields"))

@@ -1,6 +1,6 @@
 import pytest
 
-from strataweave.plans import archives
+from strataweave.plans import archives, rules
 from strataweave.plans.engine import MergeError
 from strataweave.sources import msgpack_rows as m
 
@@ -57,6 +57,27 @@ def test_tables_that_differ_around_their_rows_are_chosen_whole(spark):
     assert [(r.kind, r.row) for r in made.conflicts.collect()] == [("STRUCTURE_MISMATCH", "")]
 
 
+def profile(*fields):
+    group = rules.FieldGroup("pair", fields)
+    return rules.Profile("demo", "Demo", "table", 1, (rules.Matcher("contains", "/t"),), (), (rules.AssetRule("t", (rules.Matcher("suffix", "/t"),), 0, (group,)),))
+
+
+def test_linked_fields_are_one_choice(spark, tmp_path):
+    files = [{"t.uasset": b"h", "t.uexp": table({"m_id": 1, "a": 1, "b": 2, "c": 3})}, {"t.uasset": b"h", "t.uexp": table({"m_id": 1, "a": 1, "b": 5, "c": 4})}]
+    made = archives.analyze_archives(spark, archives.demo_archives(spark, files), [profile("a", "b")])
+    assert {(r.unit_id, r.kind) for r in made.conflicts.collect()} == {("group:pair", "ATOMIC_GROUP"), ("field:c", "FIELD_VALUE")}
+    last = made.variants.where("input = if(unit_id = 'group:pair', 1, 0)").select("conflict_id", "variant_id")
+    back = archives.merge_archives(made, last, f"file://{tmp_path}/out").where("path = 't.uexp'").first()
+    assert bytes(back.content) == table({"m_id": 1, "a": 1, "b": 5, "c": 3}, like=files[0]["t.uexp"])
+
+
+def test_linked_fields_in_part_make_the_asset_one_choice(spark):
+    files = [{"t.uasset": b"h", "t.uexp": table({"m_id": 1, "a": 1})}, {"t.uasset": b"h", "t.uexp": table({"m_id": 1, "a": 2})}]
+    made = archives.analyze_archives(spark, archives.demo_archives(spark, files), [profile("a", "b")])
+    assert [r.kind for r in made.conflicts.collect()] == ["OPAQUE_PACKAGE"]
+    assert "in part" in made.warnings.first().warning
+
+
 def test_equal_inputs_are_refused(spark):
     with pytest.raises(MergeError, match="equal"):
         archives.analyze_archives(spark, archives.demo_archives(spark, [{"a": b"1"}, {"a": b"1"}]))
