@@ -8,10 +8,8 @@ tasks at most.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from strataweave.llm import langid, minhash, packing, quality, queries, substrings
 from strataweave.llm.common import written
@@ -37,18 +35,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 100 bytes that start earlier; what is left of a cut character goes too."""
-    rest = substrings.without_repeats(docs, carry=True)
-    # characters that a cut left incomplete are dropped, where the bytes aren't UTF-8 any more
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(_whole_characters(F.col("rest")))
+    rest = substrings.without_repeats(docs, carry=True, as_text=True)
+    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("rest"))
     changed = {"text": text, "n_chars": F.length(text).cast("long")}
     return rest.select(*[(changed.get(c, F.col(f"row.`{c}`"))).alias(c) for c in docs.columns])
 
 
-@F.pandas_udf(StringType())
-def _whole_characters(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids and their places in sequences of 4096."""
     return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"))

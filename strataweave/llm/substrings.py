@@ -450,20 +450,26 @@ def _sharded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size, begin = 0, b
 
 
-def _remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, cuts in zip(text_bytes(batch.column("text")), batch.column("cuts").to_pylist(), strict=True):
-            gone = np.array([(c["start"], min(c["start"] + c["n"], len(text))) for c in cuts or () if c["start"] < len(text)], np.int64).reshape(-1, 2)
-            _, a, b = _joined(np.zeros(len(gone), np.int64), gone[:, 0], gone[:, 1])
-            edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(text)]
-            rest = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)) if len(a) else text
-            rows.append((len(text), len(text) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), rest))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        more = batch.select([n for n in batch.schema.names if n == "row"])
-        arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *more.columns]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest", *more.schema.names])
+def _remains(as_text: bool):
+    """What is left of each text; as text, without the bytes of characters that a cut left incomplete."""
+
+    def remains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, cuts in zip(text_bytes(batch.column("text")), batch.column("cuts").to_pylist(), strict=True):
+                gone = np.array([(c["start"], min(c["start"] + c["n"], len(text))) for c in cuts or () if c["start"] < len(text)], np.int64).reshape(-1, 2)
+                _, a, b = _joined(np.zeros(len(gone), np.int64), gone[:, 0], gone[:, 1])
+                edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(text)]
+                rest = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)) if len(a) else text
+                shown = rest.decode("utf-8", "ignore") if as_text else rest
+                rows.append((len(text), len(text) - len(rest), len(a), hashlib.sha256(rest).hexdigest(), shown))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary())
+            more = batch.select([n for n in batch.schema.names if n == "row"])
+            arrays = [batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *more.columns]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "rest", *more.schema.names])
+
+    return remains
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -493,9 +499,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_repeats(docs: DataFrame, *, carry: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the remaining bytes (rest) of every document; with ``carry`` also the row."""
+def without_repeats(docs: DataFrame, *, carry: bool = False, as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and what remains (rest) of every document; with ``carry`` also the row.
+
+    ``rest`` is binary; ``as_text`` makes it a string, without what a cut left of a character.
+    """
     source = documents(docs, carry=carry)
     cuts = repeated_spans(source.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")).withColumnRenamed("doc_id", "key_id")
     keyed = source.withColumn("key_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(cuts, "key_id", "left").drop("key_id")
-    return keyed.mapInArrow(_remains, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest binary" + carried(source, carry))
+    kind = "string" if as_text else "binary"
+    return keyed.mapInArrow(_remains(as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest {kind}" + carried(source, carry))
