@@ -33,10 +33,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        # written, so that both sides of the joins are plain shuffles, which adaptive execution can split
+        least = written(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = written(large, "large-star")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = written(large.groupBy("a").agg(F.min("b").alias("low")), "low")
         small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = written(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "small-star")
         after = _state(edges)

@@ -192,7 +192,9 @@ def _apart(members: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame
         placed = members.join(groups, "rep", "left").select("key", "rep", "signature", F.coalesce("component", "rep").alias("component"))
     chance = F.xxhash64("rep", F.lit(turn)).alias("chance")
     stars = placed.groupBy("key").agg(F.min(F.struct(chance, "rep", "signature", "component")).alias("star"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return placed.join(stars.where("low <> high").select("key", "star"), "key").where(F.col("component") != F.col("star.component"))
+    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
+    stars = written(stars.where("low <> high").select("key", "star"), "stars")
+    return placed.join(stars, "key").where(F.col("component") != F.col("star.component"))
 
 
 def _block_pairs(percent: int):
