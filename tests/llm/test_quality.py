@@ -72,3 +72,29 @@ def test_measures_are_those_of_the_vocabularies(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert judge_quality(df, **queries.quality_vocabularies()).collect() == []
+
+
+@pytest.mark.parametrize("carry", [False, True])
+def test_language_bands_reject_junk_and_keep_clean_text(spark, carry):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 1")  # bands are set from even ids
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    judged = judge_quality(docs.join(labels, "doc_id"), **queries.quality_vocabularies(), carry=carry)
+    judged = judged if carry else judged.join(labels, "doc_id")
+    quality = "row.quality" if carry else "quality"
+    counts = {}
+    for r in judged.where("not base_failed").selectExpr(f"{quality} as quality", "n_symbols > 0.5 * n_words as noise", "kept").collect():
+        for name in [r.quality, *(["noise"] if r.noise else [])]:
+            counts.setdefault(name, []).append(r.kept)
+    share = {k: sum(v) / len(v) for k, v in counts.items()}
+    assert share[1] >= 0.99
+    assert share[0] <= 0.2
+    assert share["noise"] <= 0.05
+
+
+def test_unmeasured_languages_take_the_band_of_the_script(spark):
+    noise = "Thnd*** iner*** ther*** $$$ onre*** hable*** ofan### " * 3 + "oulyha*** ertire### reesnd$$$ atston*** thing### lyonre***"
+    clean = "The weather in the mountains changed quickly and every traveller looked for shelter near the old stone bridge before night."
+    df = spark.createDataFrame([(1, clean, None), (2, clean, "fi"), (3, clean, "EN"), (4, noise, "en")], "doc_id long, text string, lang string")
+    found = judge_quality(df, **queries.quality_vocabularies())
+    assert "row" not in found.columns
+    assert {r.doc_id for r in found.where("kept").collect()} == {1, 2, 3}
