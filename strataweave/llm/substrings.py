@@ -18,7 +18,8 @@ An anchor that one task meets in more than HEAVY different fragments (the edge
 of a passage that very many documents share) is not gathered at all: its
 windows go, as 128-bit hashes, through a grouped minimum that is combined
 map-side. The task leaves a mark in the bucket, so that all other fragments of
-that anchor go the same way.
+that anchor go the same way. So do, in the bucket, all fragments of an anchor
+whose first ones would take more than SHARD_BYTES together.
 
 Defined results
 - A null or empty text has no bytes and loses none.
@@ -330,7 +331,11 @@ def _resolved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for s in sides:
         _, which, many = np.unique(_mixed(anchor[one] + s[one]), return_inverse=True, return_counts=True)
         several |= (many > 1)[which] & (s[one] > 0)
-    windows, several = heavy[one], several & ~heavy[one]
+    # no suffix array takes an anchor of more than SHARD_BYTES
+    _, which = np.unique(anchor[one], return_inverse=True)
+    total = np.bincount(which, np.where(several, n[one] + LENGTH, 0))
+    wide = (total > SHARD_BYTES)[which] if len(one) else several
+    windows, several = heavy[one] | (several & wide), several & ~wide & ~heavy[one]
     for kind, own in ((ASK_WINDOWS, one[windows]), (ASK, one[several])):
         yield _found(kind, doc[own], start[own], n[own], anchor[own].view(np.int64))
 
@@ -438,10 +443,11 @@ def _sharded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
     pieces = table.column("bytes").to_pylist()
     bounds = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > np.iinfo(np.int64).min else key[0] + 1)), len(key))
+    sizes = [sum(len(p) + 1 for p in pieces[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     size, begin = 0, 0
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        size += sum(len(p) + 1 for p in pieces[a:b])
-        if size >= SHARD_BYTES or b == len(key):
+    for own, following, b in zip(sizes, [*sizes[1:], SHARD_BYTES + 1], bounds[1:], strict=True):
+        size += own
+        if size + following > SHARD_BYTES:
             text, place, group = repeated_windows(pieces[begin:b], LENGTH)
             w_doc, w_start = doc[begin:b][text], start[begin:b][text] + place
             order, _, later = _first(group, doc=w_doc, start=w_start)

@@ -1,6 +1,8 @@
 import hashlib
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 
 from strataweave.llm import substrings
@@ -96,3 +98,44 @@ def test_classes_of_the_transform_are_equal_strings():
             assert strings.setdefault(g, texts[t][p : p + length]) == texts[t][p : p + length]
         assert len(set(strings.values())) == len(strings)
         assert len(set(zip(text, place, strict=True))) == sum(max(0, len(t) - length + 1) for t in texts)
+
+
+def test_no_suffix_array_takes_more_than_a_shard(spark, rows, monkeypatch):
+    # about four fragments of the passage's edge in each of many blocks: never heavy in one of them
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    side = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 150)))
+    docs = [(i, side() + passage + side()) for i in range(300)]
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(substrings, "HEAVY", 64)
+    block = substrings._Block(1)
+    sent = [x for i, t in docs for x in block.add(i, t.encode())] + [*block.flush(), *block.send()]
+    found = [r for r in substrings._resolved(iter([x.select(["kind", "entries"]) for x in sent]))]
+    totals = {}
+    for x in found:
+        for kind, n, key in zip(*(x.column(c).to_pylist() for c in ("kind", "n", "key")), strict=True):
+            if kind in (substrings.ASK, substrings.ASK_WINDOWS):
+                kinds, size = totals.get(key, (set(), 0))
+                totals[key] = (kinds | {kind}, size + n + substrings.LENGTH)
+    assert any(size > substrings.SHARD_BYTES for _, size in totals.values())
+    assert all(kinds == {substrings.ASK_WINDOWS} for kinds, size in totals.values() if size > substrings.SHARD_BYTES)
+
+
+def test_anchors_beyond_a_shard_lose_the_same_bytes(spark, rows, monkeypatch):
+    resolved, limit = substrings._resolved, 1500
+
+    # the limit holds in the workers, while a bucket is resolved
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, substrings.SHARD_BYTES = substrings.SHARD_BYTES, limit
+        try:
+            yield from resolved(batches)
+        finally:
+            substrings.SHARD_BYTES = old
+
+    monkeypatch.setattr(substrings, "_resolved", small)
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    side = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 150)))
+    docs = [(i, side() + passage + side()) for i in range(60)] + [(1000 + i, side() + passage[40:190] + side()) for i in range(5)]
+    assert run(spark, docs, rows, parts=3) == brute(docs)
