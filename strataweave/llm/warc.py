@@ -171,18 +171,24 @@ class _Stream:
         packed, _ = struct.unpack("<II", extra[4:12])
         at = self.file.tell()
         unpacker = zlib.decompressobj(-15)
-        data, head = self._read(min(packed, HEAD_BYTES)), b""
-        tail = data
-        while b"\r\n\r\n" not in head and tail:
-            head += unpacker.decompress(tail, 4096)
+        got, tail, head, seen = 0, b"", bytearray(), 0
+        while (end := head.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(head) - 3)
+            if not tail:
+                tail = self._read(min(packed - got, HEAD_BYTES))
+                got += len(tail)
+            more = unpacker.decompress(tail, 4096)  # without input, what was held back
+            if not more and not tail:
+                raise ValueError("the archive ends inside a record")
+            head += more
             tail = unpacker.unconsumed_tail
-        block, _, rest = head.partition(b"\r\n\r\n")
+        block, rest = bytes(head[:end]), bytes(head[end + 4 :])
         headers = _headers(block)
         if self._take(headers):
             body = None
             if self.with_payload:
                 self.decoded += 1
-                left = self._read(packed - len(data)) if packed > len(data) else b""
+                left = self._read(packed - got) if packed > got else b""
                 body = rest + unpacker.decompress(tail + left) + unpacker.flush()
                 body = body[: int(headers["Content-Length"])]
                 if len(body) < int(headers["Content-Length"]):

@@ -73,3 +73,17 @@ def test_plain_archives_and_damage():
 
 def test_empty_table(spark):
     assert spark.read.format("warc").load(stored(spark, [])).collect() == []
+
+
+def test_headers_longer_than_a_piece_of_the_member(spark):
+    url = "data:," + base64.b64encode(b"".join(hashlib.sha256(b"%d" % i).digest() for i in range(4700))).decode()
+    assert len(url) > 200_000
+    found = spark.read.format("warc").load(stored(spark, [(1, url, b"abc"), (2, "http://a/2", b"def" * 50000)]))
+    assert sorted((r.target_uri, bytes(r.payload)) for r in found.collect()) == [(url, b"abc"), ("http://a/2", b"def" * 50000)]
+    assert [r.record_id for r in found.where(F.col("target_uri") == url).collect()] == ["urn:x-page:1"]
+
+
+def test_members_without_the_end_of_headers_are_refused():
+    whole = warc.record_bytes(RECORD)
+    with pytest.raises(ValueError):
+        list(warc._Stream(io.BytesIO(warc.member(whole[: whole.index(b"Content-Length")])), {}, True))
