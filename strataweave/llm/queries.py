@@ -21,7 +21,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataweave.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP2_SQL = r"""
