@@ -430,7 +430,8 @@ def _named(classes: DataFrame, groups: DataFrame) -> DataFrame:
     named = linked.join(names, "component").select("digest", F.col("name.low").alias("name"), F.col("name.digest").alias("first"), F.lit(True).alias("linked"))
     # an id may be null, so the mark tells whether a class is linked at all
     name = F.when(F.col("linked"), F.col("name")).otherwise(F.col("low"))
-    return classes.select("digest", "low").join(named, "digest", "left").select("digest", name.alias("component_id"), F.coalesce("first", "digest").alias("first"))
+    out = classes.select("digest", "low").join(named, "digest", "left").select("digest", name.alias("component_id"), F.coalesce("first", "digest").alias("first"))
+    return written(out, "named")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -451,7 +452,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     members = _members(classes)
     needed = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest", "row_key")
-    texts = keyed.join(written(needed, "needed"), "row_key").dropDuplicates(["row_key", "node", "text"])
+    # merged, since what is needed grows with the corpus, and sorted by key, so that dropping copies takes no shuffle of its own
+    texts = keyed.join(written(needed, "needed").hint("merge"), "row_key").dropDuplicates(["row_key", "node", "text"])
     sets = written(texts.mapInArrow(_set_blobs(width), "node long, elements binary"), "sets")
 
     links = written(_verified(_star_candidates(members), sets, percent), "links")
