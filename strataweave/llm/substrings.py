@@ -3,28 +3,33 @@
 1. Anchors. In each window of LENGTH bytes the leftmost least hash of its grams
    of GRAM bytes is its anchor; equal windows have equal anchors at equal places,
    so only windows whose anchor occurs twice can repeat. Consecutive windows of
-   one anchor are a fragment. Tasks drop what they have seen earlier themselves,
-   and send of each fragment its hashes and place to the bucket of its anchor.
-2. Buckets. Equal fragments: all but the first are cut. The first ones of an
-   anchor with several different fragments go on, with their bytes, if they
-   share the whole longer side that a common window would have.
+   one anchor are a fragment. Tasks send of each fragment its hashes and place to
+   the bucket of its anchor; of equal ones, which are told by 128 bits of hashes,
+   only the first they meet, and the places of the others (copies) aside.
+2. Buckets. Every different fragment that has copies goes on with its bytes, and
+   so does every one that shares with another of its anchor the whole longer side
+   that a common window would have.
 3. Suffix arrays. Per shard of such fragments the Burrows-Wheeler transform is
    extended backward breadth first from the empty string, interval by interval;
    each round settles the places where the common prefix of neighbours has the
    next length, and the rounds stop at LENGTH. What is not settled by then is
-   equal in LENGTH bytes: all but the first window of such an interval are cut.
+   equal in LENGTH bytes: an interval is a class of windows, whose first place
+   stays. All others are cut: those of other fragments by the interval, those of
+   copies because their fragment is in the transform.
 
-An anchor that one task meets in more than HEAVY different fragments (the edge
-of a passage that very many documents share) is not gathered at all: its
-windows go, as 128-bit hashes, through a grouped minimum that is combined
-map-side. The task leaves a mark in the bucket, so that all other fragments of
-that anchor go the same way. So do, in the bucket, all fragments of an anchor
-whose first ones would take more than SHARD_BYTES together.
+A suffix array takes SHARD_BYTES at most. An anchor with more than that (the
+edge of a passage that very many documents share), or with more than HEAVY
+different fragments in one block, is beyond it: its windows go, as 128-bit
+hashes, through a grouped minimum that is combined map-side, which gives the
+same classes. A task that meets such an anchor leaves a mark in the bucket, so
+that all other fragments of that anchor go the same way.
 
 Defined results
 - A null or empty text has no bytes and loses none.
-- Rows that share a document id are taken for one document: what is cut at a
-  place of one is cut there in the others. A null id comes after all others.
+- Every row is cut by its own text. Rows are ordered by id, a null id after all
+  others, and rows of one id, or of none, by a hash of the text. Rows that repeat
+  both id and text (or have no id and one text) are one document: all lose what
+  the first loses.
 - Texts of any length are worked on whole; an empty table gives no rows; other
   columns are ignored.
 """
@@ -51,16 +56,16 @@ HEAVY = 64
 BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
 #: Entries that a task holds before it sends them to their buckets.
-HELD_ENTRIES = 250_000
+HELD_ENTRIES = 500_000
 #: Bytes of input per bucket of anchors.
 BUCKET_BYTES = 64_000_000
 LEAST_BUCKETS = 64
 NULL_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 24
 
-CUT, ASK, ASK_WINDOWS, WINDOW = 0, 1, 2, 3
-_FOUND = "kind int, doc_id long, start long, n long, key long, key2 long"
-_FOUND_NAMES = ["kind", "doc_id", "start", "n", "key", "key2"]
+CUT, ASK, ASK_WINDOWS, WINDOW, COPY, CLASSED = 0, 1, 2, 3, 4, 5
+_FOUND = "kind int, id_key long, row_key long, start long, n long, key long, key2 long"
+_FOUND_NAMES = ["kind", "id_key", "row_key", "start", "n", "key", "key2"]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -147,21 +152,27 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray, counts: np.ndarray):
     return at, hashes
 
 
-def _first(*keys: np.ndarray, doc: np.ndarray, start: np.ndarray):
+def _first(*keys: np.ndarray, place: tuple[np.ndarray, ...]):
     """Sorted order, whether an entry begins a group of equal keys, and whether it is later than the group's first."""
-    order = np.lexsort((start, doc, *reversed(keys)))
-    new = np.ones(len(order), bool)
+    order = np.lexsort((*reversed(place), *reversed(keys)))
+    new, later = np.ones(len(order), bool), np.zeros(len(order), bool)
     if len(order):
         new[1:] = False
         for k in keys:
             new[1:] |= k[order][1:] != k[order][:-1]
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-    later = (doc[order] != doc[head]) | (start[order] != start[head])
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        for p in place:
+            later |= p[order] != p[head]
     return order, new, later
 
 
-#: Anchor, content, document, start, windows, sides.
-_PARTS = (np.uint64, np.uint64, np.int64, np.uint32, np.uint8, np.uint16, np.uint16)
+def _any(flags: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Whether a group, each of which begins where ``new``, has a flag."""
+    return np.logical_or.reduceat(flags, np.flatnonzero(new)) if len(flags) else flags
+
+
+#: Anchor, content, id, row, start, windows, whether it has copies, sides.
+_PARTS = (np.uint64, np.uint64, np.int64, np.int64, np.uint32, np.uint8, np.bool_, np.uint16, np.uint16)
 
 
 def _packed(parts) -> bytes:
@@ -175,28 +186,29 @@ def _unpacked(blob: bytes):
         at += n * np.dtype(t).itemsize
 
 
-def _found(kind: int, doc, start, n, key=None, key2=None) -> pa.RecordBatch:
-    zero = np.zeros(len(doc), np.int64)
-    columns = [np.full(len(doc), kind, np.int32), doc, start, n, zero if key is None else key, zero if key2 is None else key2]
-    return pa.RecordBatch.from_arrays([pa.array(c if i == 0 else np.asarray(c).astype(np.int64, copy=False)) for i, c in enumerate(columns)], _FOUND_NAMES)
+def _found(kind: int, id_key, row_key, start, n, key=None, key2=None) -> pa.RecordBatch:
+    zero = np.zeros(len(id_key), np.int64)
+    columns = [id_key, row_key, start, n, zero if key is None else key, zero if key2 is None else key2]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(id_key), kind, np.int32)), *(pa.array(np.asarray(c).astype(np.int64, copy=False)) for c in columns)], _FOUND_NAMES)
 
 
-def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
+def _joined(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray):
     """The same bytes in as few runs as possible."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    group = np.cumsum(np.append(True, doc[1:] != doc[:-1]))
+        return doc, row, start, end
+    order = np.lexsort((start, row, doc))
+    doc, row, start, end = doc[order], row[order], start[order], end[order]
+    other = (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])
+    group = np.cumsum(np.append(True, other))
     reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)
-    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1]))
+    new = np.append(True, other | (start[1:] > reach[:-1]))
     last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
-    return doc[new], start[new], reach[last]
+    return doc[new], row[new], start[new], reach[last]
 
 
-def _cuts(doc, start, end) -> pa.RecordBatch:
-    doc, start, end = _joined(np.asarray(doc, np.int64), np.asarray(start, np.int64), np.asarray(end, np.int64))
-    return _found(CUT, doc, start, end - start)
+def _cuts(doc, row, start, end) -> pa.RecordBatch:
+    doc, row, start, end = _joined(*(np.asarray(x, np.int64) for x in (doc, row, start, end)))
+    return _found(CUT, doc, row, start, end - start)
 
 
 class _Block:
@@ -209,66 +221,72 @@ class _Block:
 
     def _empty(self) -> None:
         self.parts: list[bytes] = []
-        self.docs: list[int] = []
+        self.rows: list[tuple[int, int]] = []
         self.offsets: list[int] = []
         self.size = 0
 
-    def add(self, doc: int, text: bytes) -> Iterator[pa.RecordBatch]:
+    def add(self, row: tuple[int, int], text: bytes) -> Iterator[pa.RecordBatch]:
         for at in range(0, max(1, len(text) - LENGTH + 1), BLOCK_BYTES):
             part = text[at : at + BLOCK_BYTES + LENGTH - 1] if len(text) > BLOCK_BYTES else text
             if self.size + len(part) > BLOCK_BYTES + LENGTH:
                 yield from self.flush()
             self.parts.append(part)
-            self.docs.append(doc)
+            self.rows.append(row)
             self.offsets.append(at)
             self.size += len(part)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        """Rows (bucket, kind, blob): entries for the buckets, cuts and heavy windows."""
+        """Rows (bucket, kind, blob): copies and heavy windows; entries are held."""
         data = np.frombuffer(b"".join(self.parts), np.uint8)
         ends = np.cumsum([len(p) for p in self.parts]).astype(np.int64)
         starts, counts, anchor, content, sides = _fragments(data, ends)
         text = np.searchsorted(ends, starts, side="right")
         begin = np.append(0, ends)[:-1]
-        doc = np.array(self.docs, np.int64)[text] if len(text) else np.zeros(0, np.int64)
-        start = starts - begin[text] + np.array(self.offsets, np.int64)[text] if len(text) else starts
+        doc, row = np.array(self.rows, np.int64).reshape(-1, 2).T[:, text]
+        start = starts - begin[text] + np.array(self.offsets, np.int64)[text]
         self._empty()
-        order, new, later = _first(anchor, content, doc=doc, start=start)
-        cut = order[later]
-        cuts = [(doc[cut], start[cut], start[cut] + counts[cut] + LENGTH - 1)]
+        order, new, later = _first(anchor, content, place=(doc, row, start))
         kept = order[new]
+        copied = _any(later, new)
         # anchors with very many different fragments
         _, which, many = np.unique(anchor[kept], return_inverse=True, return_counts=True)
         heavy = many[which] > HEAVY
         windows = kept[heavy]
         if len(windows):
             at, (h1, h2) = _window_hashes(data, starts[windows], counts[windows])
-            w_doc, w_start = np.repeat(doc[windows], counts[windows]), at + np.repeat(start[windows] - starts[windows], counts[windows])
-            order, new, later = _first(h1, h2, doc=w_doc, start=w_start)
-            cuts.append((w_doc[order[later]], w_start[order[later]], w_start[order[later]] + LENGTH))
-            one = order[new]
-            yield self._row(int(h1[0] % self.buckets), WINDOW, np.stack([w_doc[one], w_start[one], h1[one], h2[one]]).tobytes())
+            w_doc, w_row = (np.repeat(x[windows], counts[windows]) for x in (doc, row))
+            w_start = at + np.repeat(start[windows] - starts[windows], counts[windows])
+            w_order, w_new, w_later = _first(h1, h2, place=(w_doc, w_row, w_start))
+            # equal fragments of these anchors are as settled as equal windows
+            gone, same = w_order[w_later], order[later & np.isin(anchor[order], anchor[windows])]
+            cut = _cuts(np.append(w_doc[gone], doc[same]), np.append(w_row[gone], row[same]), np.append(w_start[gone], start[same]), np.append(w_start[gone], start[same] + counts[same] - 1) + LENGTH)
+            yield self._row(int(h1[0] % self.buckets), CUT, np.stack([np.asarray(cut.column(n)) for n in ("id_key", "row_key", "start", "n")]).tobytes())
+            one = w_order[w_new]
+            yield self._row(int(h1[0] % self.buckets), WINDOW, np.stack([w_doc[one], w_row[one], w_start[one], h1[one], h2[one]]).tobytes())
+            later &= ~np.isin(anchor[order], anchor[windows])
             _, mark = np.unique(anchor[windows], return_index=True)
             marks = windows[mark]
         else:
             marks = windows
-        cut_rows = _cuts(*(np.concatenate(x) for x in zip(*cuts, strict=True)))
-        if cut_rows.num_rows:
-            blob = np.stack([np.asarray(cut_rows.column(n)) for n in ("doc_id", "start", "n")]).tobytes()
-            yield self._row(int(cut_rows.column("start")[0].as_py() % self.buckets), CUT, blob)
+        yield from self._copies(anchor, content, doc, row, start, counts, at=order[later])
         # a mark is an entry of no windows
         sent = np.concatenate([kept[~heavy], marks])
-        sizes = np.concatenate([counts[kept[~heavy]], np.zeros(len(marks), np.int64)])
-        self.held.append((anchor[sent], content[sent], doc[sent], start[sent], sizes, *sides[:, sent]))
+        none = np.zeros(len(marks), np.int64)
+        self.held.append((anchor[sent], content[sent], doc[sent], row[sent], start[sent], np.concatenate([counts[kept[~heavy]], none]), np.concatenate([copied[~heavy], none > 0]), *sides[:, sent]))
         if sum(len(x[0]) for x in self.held) >= HELD_ENTRIES:
             yield from self.send()
 
     def send(self) -> Iterator[pa.RecordBatch]:
-        """What is held, bucket by bucket."""
+        """What is held, bucket by bucket; of equal entries the first, the others as copies."""
         if not self.held:
             return
         parts = [np.concatenate(x) for x in zip(*self.held, strict=True)]
         self.held = []
+        anchor, content, doc, row, start, n, copied = parts[:7]
+        order, new, later = _first(anchor, content, n == 0, place=(doc, row, start))
+        yield from self._copies(anchor, content, doc, row, start, n, at=order[later & (n[order] > 0)])
+        one = order[new]
+        parts = [*(p[one] for p in parts[:6]), _any(copied[order] | later, new), *(p[one] for p in parts[7:])]
         bucket = (parts[0] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         parts, bucket = [p[order] for p in parts], bucket[order]
@@ -276,22 +294,27 @@ class _Block:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             yield self._row(int(bucket[a]), ASK, _packed([p[a:b] for p in parts]))
 
+    def _copies(self, anchor, content, doc, row, start, n, at) -> Iterator[pa.RecordBatch]:
+        if len(at):
+            blob = np.stack([doc[at], row[at], start[at], n[at], anchor[at].view(np.int64), content[at].view(np.int64)]).tobytes()
+            yield self._row(int(anchor[at[0]] % np.uint64(self.buckets)), COPY, blob)
+
     @staticmethod
     def _row(bucket: int, kind: int, blob: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "entries"])
 
 
-def _ids(column: pa.Array) -> list[int]:
-    return [NULL_ID if x is None else x for x in column.to_pylist()]
+def _row_keys(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    return zip(batch.column("id_key").to_pylist(), batch.column("row_key").to_pylist(), strict=True)
 
 
 def _anchored(buckets: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(buckets)
         for batch in batches:
-            for doc, text in zip(_ids(batch.column("doc_id")), text_bytes(batch.column("text")), strict=True):
+            for row, text in zip(_row_keys(batch), text_bytes(batch.column("text")), strict=True):
                 if len(text) >= LENGTH:
-                    yield from block.add(doc, text)
+                    yield from block.add(row, text)
         if block.parts:
             yield from block.flush()
         yield from block.send()
@@ -300,44 +323,48 @@ def _anchored(buckets: int):
 
 
 def _resolved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's entries: cuts, and the first fragments of anchors that have several."""
+    """A bucket's entries: copies, and the fragments that go on to suffix arrays."""
     gathered = []
     for batch in rows:
         for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            if kind == CUT:
-                yield _found(CUT, *np.frombuffer(blob, np.int64).reshape(3, -1))
-            elif kind == WINDOW:
-                doc, start, h1, h2 = np.frombuffer(blob, np.int64).reshape(4, -1)
-                yield _found(WINDOW, doc, start, np.full(len(doc), LENGTH), h1, h2)
-            else:
+            if kind == ASK:
                 gathered.append(list(_unpacked(blob)))
+                continue
+            values = np.frombuffer(blob, np.int64)
+            if kind == WINDOW:
+                doc, row, start, h1, h2 = values.reshape(5, -1)
+                yield _found(WINDOW, doc, row, start, np.full(len(doc), LENGTH), h1, h2)
+            else:
+                yield _found(kind, *values.reshape(4 if kind == CUT else 6, -1))
     if not gathered:
         return
-    anchor, content, doc, start, n, *sides = (np.concatenate(x) for x in zip(*gathered, strict=True))
+    anchor, content, doc, row, start, n, copied, *sides = (np.concatenate(x) for x in zip(*gathered, strict=True))
     gathered.clear()
     _, which, many = np.unique(anchor, return_inverse=True, return_counts=True)
     marked = np.zeros(len(many), bool)
     marked[which[n == 0]] = True
-    used = ((many > 1) | marked)[which] & (n > 0)
+    used = ((many > 1) | marked)[which] & (n > 0) | copied
     heavy = marked[which][used]
-    anchor, content, doc, start, n = anchor[used], content[used], doc[used], start[used].astype(np.int64), n[used].astype(np.int64)
+    anchor, content, doc, row, copied = anchor[used], content[used], doc[used], row[used], copied[used]
+    start, n = start[used].astype(np.int64), n[used].astype(np.int64)
     sides = [s[used] for s in sides]
-    order, new, later = _first(anchor, content, doc=doc, start=start)
-    cut = order[later]
-    yield _cuts(doc[cut], start[cut], start[cut] + n[cut] + LENGTH - 1)
+    order, new, later = _first(anchor, content, place=(doc, row, start))
+    copy = order[later]
+    yield _found(COPY, doc[copy], row[copy], start[copy], n[copy], anchor[copy].view(np.int64), content[copy].view(np.int64))
     one = order[new]
+    if not len(one):
+        return
     # fragments can share a window only if they share the whole side of the anchor that has most of it
-    several = np.zeros(len(one), bool)
+    several = _any(copied[order] | later, new)
     for s in sides:
         _, which, many = np.unique(_mixed(anchor[one] + s[one]), return_inverse=True, return_counts=True)
         several |= (many > 1)[which] & (s[one] > 0)
     # no suffix array takes an anchor of more than SHARD_BYTES
     _, which = np.unique(anchor[one], return_inverse=True)
     total = np.bincount(which, np.where(several, n[one] + LENGTH, 0))
-    wide = (total > SHARD_BYTES)[which] if len(one) else several
-    windows, several = heavy[one] | (several & wide), several & ~wide & ~heavy[one]
-    for kind, own in ((ASK_WINDOWS, one[windows]), (ASK, one[several])):
-        yield _found(kind, doc[own], start[own], n[own], anchor[own].view(np.int64))
+    windows = heavy[one] | (several & (total > SHARD_BYTES)[which])
+    for kind, own in ((ASK_WINDOWS, one[windows]), (ASK, one[several & ~windows])):
+        yield _found(kind, doc[own], row[own], start[own], n[own], anchor[own].view(np.int64), content[own].view(np.int64))
 
 
 def _fetched(shards: int):
@@ -345,20 +372,26 @@ def _fetched(shards: int):
     names = [*_FOUND_NAMES, "shard", "bytes"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for doc, text, asked in zip(_ids(batch.column("doc_id")), text_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
-                plain = [x for x in asked if x["kind"] == ASK and x["start"] + x["n"] + LENGTH - 1 <= len(text)]
+            for (doc, row), text, asked in zip(_row_keys(batch), text_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+                if before == (doc, row):  # a row that repeats id and text gives the same bytes
+                    continue
+                before = doc, row
+                asked = [x for x in asked if x["start"] + x["n"] + LENGTH - 1 <= len(text)]
+                plain, wide = ([x for x in asked if x["kind"] == k] for k in (ASK, ASK_WINDOWS))
                 if plain:
-                    rows = _found(ASK, [doc] * len(plain), *([x[k] for x in plain] for k in ("start", "n", "key")))
+                    found = _found(ASK, [doc] * len(plain), [row] * len(plain), *([x[k] for x in plain] for k in ("start", "n", "key", "key2")))
                     pieces = [text[x["start"] : x["start"] + x["n"] + LENGTH - 1] for x in plain]
                     shard = pa.array([x["key"] % shards for x in plain], pa.int32())
-                    yield pa.RecordBatch.from_arrays([*rows.columns, shard, pa.array(pieces, pa.binary())], names)
-                wide = [x for x in asked if x["kind"] == ASK_WINDOWS and x["start"] + x["n"] + LENGTH - 1 <= len(text)]
+                    yield pa.RecordBatch.from_arrays([*found.columns, shard, pa.array(pieces, pa.binary())], names)
                 if wide:
-                    starts, counts = (np.array([x[k] for x in wide], np.int64) for k in ("start", "n"))
+                    starts, counts, key, key2 = (np.array([x[k] for x in wide], np.int64) for k in ("start", "n", "key", "key2"))
                     at, (h1, h2) = _window_hashes(np.frombuffer(text, np.uint8), starts, counts)
-                    rows = _found(WINDOW, np.full(len(at), doc), at, np.full(len(at), LENGTH), h1, h2)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
+                    found = _found(WINDOW, np.full(len(at), doc), np.full(len(at), row), at, np.full(len(at), LENGTH), h1, h2)
+                    classed = _found(CLASSED, np.full(len(wide), doc), np.full(len(wide), row), starts, counts, key, key2)
+                    for x in (found, classed):
+                        yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.int32()), pa.nulls(x.num_rows, pa.binary())], names)
 
     return fetch
 
@@ -437,22 +470,24 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
 
 
 def _sharded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts among the fragments of a shard; fragments of one anchor share a suffix array."""
+    """Cuts among the fragments of a shard, and which fragments its transforms hold; those of one anchor share one."""
     table = pa.Table.from_batches(list(rows)).sort_by("key")
     key = table.column("key").to_numpy()
-    doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+    doc, row, start, n, key2 = (table.column(c).to_numpy() for c in ("id_key", "row_key", "start", "n", "key2"))
     pieces = table.column("bytes").to_pylist()
-    bounds = np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1 if key[0] > np.iinfo(np.int64).min else key[0] + 1)), len(key))
+    bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
     sizes = [sum(len(p) + 1 for p in pieces[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     size, begin = 0, 0
     for own, following, b in zip(sizes, [*sizes[1:], SHARD_BYTES + 1], bounds[1:], strict=True):
         size += own
         if size + following > SHARD_BYTES:
             text, place, group = repeated_windows(pieces[begin:b], LENGTH)
-            w_doc, w_start = doc[begin:b][text], start[begin:b][text] + place
-            order, _, later = _first(group, doc=w_doc, start=w_start)
+            w_doc, w_row, w_start = doc[begin:b][text], row[begin:b][text], start[begin:b][text] + place
+            order, _, later = _first(group, place=(w_doc, w_row, w_start))
             cut = order[later]
-            yield _cuts(w_doc[cut], w_start[cut], w_start[cut] + LENGTH)
+            yield _cuts(w_doc[cut], w_row[cut], w_start[cut], w_start[cut] + LENGTH)
+            classed = np.unique(text) + begin
+            yield _found(CLASSED, doc[classed], row[classed], start[classed], n[classed], key[classed], key2[classed])
             size, begin = 0, b
 
 
@@ -464,7 +499,8 @@ def _remains(as_text: bool):
             rows = []
             for text, cuts in zip(text_bytes(batch.column("text")), batch.column("cuts").to_pylist(), strict=True):
                 gone = np.array([(c["start"], min(c["start"] + c["n"], len(text))) for c in cuts or () if c["start"] < len(text)], np.int64).reshape(-1, 2)
-                _, a, b = _joined(np.zeros(len(gone), np.int64), gone[:, 0], gone[:, 1])
+                one = np.zeros(len(gone), np.int64)
+                *_, a, b = _joined(one, one, gone[:, 0], gone[:, 1])
                 edges = [0, *np.column_stack([a, b]).ravel().tolist(), len(text)]
                 rest = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)) if len(a) else text
                 shown = rest.decode("utf-8", "ignore") if as_text else rest
@@ -478,31 +514,37 @@ def _remains(as_text: bool):
     return remains
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, n): stretches to cut from documents (doc_id, text); they may overlap."""
-    with_text_batches(docs.sparkSession)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _keyed(source: DataFrame) -> DataFrame:
+    return source.withColumn("id_key", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """(id_key, row_key, start, n): stretches to cut from rows (id_key, row_key, text); they may overlap."""
+    with_text_batches(keyed.sparkSession)
+    keyed = keyed.select("id_key", "row_key", "text")
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
-    entries = docs.mapInArrow(_anchored(buckets), "bucket int, kind int, entries binary")
+    entries = keyed.mapInArrow(_anchored(buckets), "bucket int, kind int, entries binary")
     found = written(entries.groupBy("bucket").applyInArrow(_resolved, _FOUND), "substrings-found")
 
     asked = found.where(F.col("kind").isin(ASK, ASK_WINDOWS))
-    per_doc = asked.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "n", "key")).alias("asked"))
+    per_row = asked.groupBy("id_key", "row_key").agg(F.collect_list(F.struct("kind", "start", "n", "key", "key2")).alias("asked"))
     size = found.where(F.col("kind") == ASK).agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = max(LEAST_BUCKETS, size // (4 * SHARD_BYTES))
-    keyed = docs.withColumn("key_id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    with_texts = keyed.join(per_doc.withColumnRenamed("doc_id", "key_id"), "key_id").select("doc_id", "text", "asked")
+    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
+    with_texts = keyed.join(written(per_row, "substrings-asked"), ["id_key", "row_key"])
     fetched = written(with_texts.mapInArrow(_fetched(shards), _FOUND + ", shard int, bytes binary"), "substrings-fetched")
-    among = fetched.where(F.col("kind") == ASK).groupBy("shard").applyInArrow(_sharded, _FOUND)
+    among = written(fetched.where(F.col("kind") == ASK).groupBy("shard").applyInArrow(_sharded, _FOUND), "substrings-classes")
 
+    classed = among.unionByName(fetched.drop("shard", "bytes")).where(F.col("kind") == CLASSED).select("key", "key2")
+    copies = found.where(F.col("kind") == COPY).join(classed, ["key", "key2"]).withColumn("n", F.col("n") + LENGTH - 1)
     windows = found.where(F.col("kind") == WINDOW).unionByName(fetched.where(F.col("kind") == WINDOW).drop("shard", "bytes"))
-    first = windows.groupBy("key", "key2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    later = windows.join(first, ["key", "key2"]).where(F.struct("doc_id", "start") != F.col("first"))
-    cuts = [found.where(F.col("kind") == CUT), among.where(F.col("kind") == CUT), later]
-    out = cuts[0].select("doc_id", "start", "n")
-    for more in cuts[1:]:
-        out = out.union(more.select("doc_id", "start", "n"))
-    return out
+    place = F.struct("id_key", "row_key", "start")
+    first = windows.groupBy("key", "key2").agg(F.min(place).alias("first"))
+    later = windows.join(first, ["key", "key2"]).where(place != F.col("first"))
+    cuts = [x.where(F.col("kind") == CUT) for x in (found, among)]
+    names = ["id_key", "row_key", "start", "n"]
+    return cuts[0].select(names).union(cuts[1].select(names)).union(copies.select(names)).union(later.select(names))
 
 
 def without_repeats(docs: DataFrame, *, carry: bool = False, as_text: bool = False) -> DataFrame:
@@ -511,7 +553,9 @@ def without_repeats(docs: DataFrame, *, carry: bool = False, as_text: bool = Fal
     ``rest`` is binary; ``as_text`` makes it a string, without what a cut left of a character.
     """
     source = documents(docs, carry=carry)
-    cuts = repeated_spans(source.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("cuts")).withColumnRenamed("doc_id", "key_id")
-    keyed = source.withColumn("key_id", F.coalesce("doc_id", F.lit(NULL_ID))).join(cuts, "key_id", "left").drop("key_id")
+    keyed = _keyed(source)
+    cuts = repeated_spans(keyed).groupBy("id_key", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
+    joined = keyed.join(written(cuts, "substrings-cuts"), ["id_key", "row_key"], "left").drop("id_key", "row_key")
     kind = "string" if as_text else "binary"
-    return keyed.mapInArrow(_remains(as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest {kind}" + carried(source, carry))
+    return joined.mapInArrow(_remains(as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, rest {kind}" + carried(source, carry))

@@ -69,12 +69,12 @@ def test_long_texts_are_worked_on_in_stretches():
     old, substrings.BLOCK_BYTES = substrings.BLOCK_BYTES, 4096
     try:
         block = substrings._Block(1)
-        found = [*block.add(7, text), *block.flush(), *block.send()]
+        found = [*block.add((7, 0), text), *block.flush(), *block.send()]
     finally:
         substrings.BLOCK_BYTES = old
     rows = [r for x in found for r in substrings._resolved(iter([x.select(["kind", "entries"])]))]
     assert rows
-    starts = [s for x in found if x.column("kind")[0].as_py() == substrings.ASK for s in list(substrings._unpacked(x.column("entries")[0].as_py()))[3].tolist()]
+    starts = [s for x in found if x.column("kind")[0].as_py() == substrings.ASK for s in list(substrings._unpacked(x.column("entries")[0].as_py()))[4].tolist()]
     assert max(starts) > 22000
 
 
@@ -87,6 +87,38 @@ def test_repeated_and_null_ids_and_empty_tables(spark, rows):
     assert rows(without_repeats(df.limit(0)), "doc_id") == []
 
 
+def test_rows_are_cut_by_their_own_text(spark):
+    rng = random.Random(8)
+    t, u, q, v = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(4))
+    docs = [(1, t), (None, t), (None, u), (5, t), (5, u + q), (None, v), (None, v), (None, v + q), (5, t)]
+    df = spark.createDataFrame([(x, i, 0, 0) for i, x in docs], "text string, doc_id long, id_key long, row_key long").repartition(3)
+    found = sorted(((r.doc_id or 99, r.n_bytes, r.n_removed) for r in without_repeats(df, carry=True).collect()))
+    alone, after = sorted([(99, 300, 0), (99, 300, 0), (99, 600, 600)]), sorted([(99, 300, 300), (99, 300, 300), (99, 600, 300)])
+    rest = [r for r in found if r[0] != 99]
+    assert rest == [(1, 300, 0), (5, 300, 300), (5, 300, 300), (5, 600, 0)]
+    ours = [r for r in found if r[0] == 99]
+    # of the rows without id that share v, the one of the smaller hash keeps it
+    assert ours == sorted([(99, 300, 300), (99, 300, 300), *alone]) or ours == sorted([(99, 300, 300), (99, 300, 300), *after])
+
+
+def test_a_line_of_many_documents(spark, rows):
+    rng = random.Random(21)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(170))
+    docs = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60))) + "\n" + line * rng.randint(1, 2)) for i in range(500)]
+    assert run(spark, docs, rows, parts=4) == brute(docs)
+
+
+def test_every_cut_follows_from_a_class(spark):
+    """Without the classes of suffix arrays (or of windows) nothing of a copy is cut."""
+    block = substrings._Block(4)
+    rng = random.Random(6)
+    t = bytes(rng.choice(b"abcdefgh ") for _ in range(700))
+    sent = [x for i in range(3) for x in block.add((i, 0), t)] + [*block.flush(), *block.send()]
+    found = [r for x in sent for r in substrings._resolved(iter([x.select(["kind", "entries"])]))]
+    kinds = {k for x in found for k in x.column("kind").to_pylist()}
+    assert kinds == {substrings.COPY, substrings.ASK}
+
+
 def test_classes_of_the_transform_are_equal_strings():
     rng = random.Random(3)
     for _ in range(60):
@@ -110,7 +142,7 @@ def test_no_suffix_array_takes_more_than_a_shard(spark, rows, monkeypatch):
     monkeypatch.setattr(substrings, "SHARD_BYTES", 1500)
     monkeypatch.setattr(substrings, "HEAVY", 64)
     block = substrings._Block(1)
-    sent = [x for i, t in docs for x in block.add(i, t.encode())] + [*block.flush(), *block.send()]
+    sent = [x for i, t in docs for x in block.add((i, 0), t.encode())] + [*block.flush(), *block.send()]
     found = [r for r in substrings._resolved(iter([x.select(["kind", "entries"]) for x in sent]))]
     totals = {}
     for x in found:
