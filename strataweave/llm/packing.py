@@ -46,7 +46,8 @@ class _WordTokens:
     The vocabulary's normaliser and pre-tokeniser never look across white
     space, so a text has the ids of its words; and between a letter or digit
     and the punctuation that ends a word they always cut, so that a word has
-    the ids of its stem and of its ending.
+    the ids of its stem and of its ending. Special tokens that a text spells
+    out become their ids, as by the library.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -56,7 +57,7 @@ class _WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [x.content.encode().lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.is_last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
         for token, n in self.tokenizer.get_vocab().items():
             self.is_last[n] = token.endswith(WORD_END)
@@ -68,7 +69,9 @@ class _WordTokens:
 
     def _split(self, word: bytes) -> tuple[int, int]:
         """A word's stem and its closing punctuation, where the pre-tokeniser cuts too."""
-        word = word.lower()
+        whole, word = word, word.lower()
+        if any(m in word for m in self.marks):  # the library cuts special tokens out itself, as they are written
+            return self.stems[whole], self.stems[b""]
         stem = word.rstrip(ENDINGS)
         if not stem[-1:].isalnum() and not stem.decode().lower()[-1:].isalnum():
             stem = word

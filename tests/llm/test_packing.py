@@ -16,13 +16,13 @@ TEXTS = [
     "word " * 6000,
     "word " * 6000,
     "İ= Aİ, \u0338é! x\u0338= ²! Ⅷ. (ok) ... a.b,c. it's's",
+    "a <|endoftext|> b<|startoftext|>c, <|ENDOFTEXT|> <|endoftext|>. x<|endoftext|><|endoftext|>|> <|endoftext",
     "don't we'll é ́x " * 50,
 ]
 
 
 def brute(text):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
