@@ -33,6 +33,13 @@ FAN_IN = 8
 _BLOCK = "block string, dim int, n int, ids binary, vectors binary"
 _PARTIAL = "query_id long, lane int, vec_id long, score long"
 _LONG = np.iinfo(np.int64)
+#: Whole numbers too large for one float64 product are multiplied in parts of so many bits.
+LIMB_BITS = 20
+_LIMB = float(1 << LIMB_BITS)
+_DIMS = 4096
+#: Digits of scores held at once.
+_DIGITS = 8 << 20
+_SIZES = ((1, 1), (2, 4), (5, 1 << 10))
 
 
 def _pack(rows_per_block: int, scale: float):
@@ -96,16 +103,60 @@ def _best(q_ids, q, c_ids, c, k: int):
         picked = top[rows, cols]
         scores = np.floor_divide(best[rows, cols], n).astype(np.int64)
         return rows, c_ids[picked], scores
-    rows, ids, scores = [], [], []
-    wide = [[int(x) for x in v] for v in c]
-    for i, vector in enumerate(q):
-        exact = [int(x) for x in vector]
-        found = [(-min(max(sum(map(int.__mul__, exact, v)), _LONG.min), _LONG.max), int(j)) for v, j in zip(wide, c_ids, strict=True) if j != q_ids[i]]
-        for score, j in sorted(found)[:k]:
-            rows.append(i)
-            ids.append(j)
-            scores.append(-score)
-    return np.array(rows, int), np.array(ids, np.int64), np.array(scores, np.int64)
+    scores = _exact_scores(q, c)
+    # extra places for the query's own rows, which are dropped; later ranks drop what is more than k
+    own = q_ids[:, None] == c_ids[None, :]
+    kept = min(kept + int(own.sum(axis=1).max(initial=0)), n)
+    least = np.partition(scores, n - kept, axis=1)[:, n - kept, None]
+    better, equal = scores > least, scores == least
+    chosen = better | (equal & (np.cumsum(equal, axis=1) <= kept - better.sum(axis=1)[:, None]))
+    rows, picked = np.nonzero(chosen & ~own)
+    return rows, c_ids[picked], scores[rows, picked]
+
+
+def _limbs(x: np.ndarray, n: int) -> list[np.ndarray]:
+    """Whole numbers as ``n`` numbers below 2 ** LIMB_BITS, the lowest first, with the sign of the whole."""
+    sign, rest, out = np.sign(x), np.abs(x), []
+    for _ in range(n):
+        low = np.fmod(rest, _LIMB)
+        out.append(sign * low)
+        rest = (rest - low) / _LIMB
+    return out
+
+
+def _exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers of any size, set to the ends of a long beyond them."""
+    out = np.zeros((len(q), len(c)), np.int64)
+    sizes = [np.maximum(1, -(-np.frexp(np.abs(x).max(axis=1, initial=0))[1] // LIMB_BITS)) for x in (q, c)]
+    # rows of few and of many limbs apart, so that one outlier doesn't make the others dear
+    for low_q, high_q in _SIZES:
+        for low_c, high_c in _SIZES:
+            a, b = ((low <= s) & (s <= high) for s, low, high in ((sizes[0], low_q, high_q), (sizes[1], low_c, high_c)))
+            if a.any() and b.any():
+                n_q, n_c = int(sizes[0][a].max()), int(sizes[1][b].max())
+                step = max(1, _DIGITS // ((n_q + n_c + 3) * int(b.sum())))
+                parts = np.flatnonzero(a)
+                for at in range(0, len(parts), step):
+                    out[np.ix_(parts[at : at + step], b)] = _limb_products(q[parts[at : at + step]], n_q, c[b], n_c)
+    return out
+
+
+def _limb_products(q: np.ndarray, n_q: int, c: np.ndarray, n_c: int) -> np.ndarray:
+    digits = np.zeros((n_q + n_c + 3, len(q), len(c)), np.int64)
+    for at in range(0, q.shape[1], _DIMS):  # of so many products of limbs a float64 sum is exact
+        parts_q, parts_c = _limbs(q[:, at : at + _DIMS], n_q), _limbs(c[:, at : at + _DIMS], n_c)
+        for i, x in enumerate(parts_q):
+            for j, y in enumerate(parts_c):
+                digits[i + j] += (x @ y.T).astype(np.int64)
+    for k in range(len(digits) - 1):
+        digits[k + 1] += digits[k] >> LIMB_BITS
+        digits[k] &= int(_LIMB) - 1
+    # three limbs are the low 60 bits; what is above must fit in the other four
+    high = digits[-1]
+    for d in digits[-2:2:-1]:
+        high = np.clip(high, -(1 << 40), 1 << 40) * int(_LIMB) + d
+    low = digits[0] + (digits[1] << LIMB_BITS) + (digits[2] << 2 * LIMB_BITS)
+    return np.where(high > 7, _LONG.max, np.where(high < -8, _LONG.min, (np.clip(high, -8, 7) << 60) + low))
 
 
 def _tiles(k: int):

@@ -1,5 +1,8 @@
 import math
 import random
+import time
+
+import numpy as np
 
 from strataweave.llm import topk
 from strataweave.llm.topk import exact_topk
@@ -46,6 +49,28 @@ def test_huge_components_are_exact_or_at_the_ends_of_long(spark):
     assert run(spark, rows, rows, k=3) == brute(rows, rows, 3, 256.0)
 
 
+def test_products_in_limbs_equal_whole_numbers():
+    rng = random.Random(3)
+    value = lambda: float(math.floor(rng.choice((-1, 1)) * 2 ** rng.choice((rng.uniform(0, 10), rng.uniform(0, 62), rng.uniform(0, 300)))))
+    for dim in (0, 1, 3, 5000):
+        q, c = ([[rng.choice((value(), 1.0, -1.0, 0.0, 1e30, -1e30)) for _ in range(dim)] for _ in range(9)] for _ in range(2))
+        want = [[min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), -(2**63)), 2**63 - 1) for y in c] for x in q]
+        assert topk._exact_scores(np.array(q).reshape(9, dim), np.array(c).reshape(9, dim)).tolist() == want
+
+
+def test_a_full_tile_with_an_outlier_takes_no_longer_than_a_few_products():
+    rng = np.random.default_rng(5)
+    q, c = rng.integers(-200, 200, (128, 64)).astype(float), rng.integers(-200, 200, (4096, 64)).astype(float)
+    c[77, 5] = 3e12
+    began = time.time()
+    rows, ids, scores = topk._best(np.arange(128), q, np.arange(1000, 5096), c, 5)
+    assert time.time() - began < 5
+    exact = q.astype(np.int64) @ c.astype(np.int64).T
+    for i in range(128):
+        want = sorted((-s, j + 1000) for j, s in enumerate(exact[i].tolist()))[:5]
+        assert sorted(zip((-scores[rows == i]).tolist(), ids[rows == i].tolist(), strict=True)) == want
+
+
 def test_empty_and_short_tables(spark):
     one = [(1, [1.0])]
     assert run(spark, one, one) == []
