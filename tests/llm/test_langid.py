@@ -53,7 +53,65 @@ def test_nothing_to_learn(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert langid.learn(empty) is None
     asked = spark.createDataFrame([(1, "words")], "doc_id long, text string")
-    assert [tuple(r) for r in langid.predict(asked, None).collect()] == [(1, "und", 0.0)]
+    assert [tuple(r) for r in langid.predict(asked, None).collect()] == [(1, "und", 0.0, float("inf"))]
+
+
+def test_fit_is_a_weighted_ridge_regression_on_landmark_features():
+    """Outputs of new texts against one least-squares problem with the ridge as further rows."""
+    samples = {lang: [" ".join(text.split()[i : i + 6]) for i in range(n)] for (lang, text), n in zip(TEXTS.items(), (12, 7, 9), strict=True)}
+    bits = {lang: [np.packbits(langid.presence([t])[0]).tobytes() for t in texts] for lang, texts in samples.items()}
+    model = langid.fit(bits, 9)
+    marks = [t for lang in sorted(samples) for t in samples[lang][:3]]
+
+    def alike(a, b):
+        a, b = grams(a), grams(b)
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    kernel = lambda texts: np.array([[alike(t, m) for m in marks] for t in texts])
+    values, vectors = np.linalg.eigh(kernel(marks))
+    features = lambda texts: kernel(texts) @ (vectors / np.sqrt(values))
+    rows, targets = [], []
+    for n, lang in enumerate(sorted(samples)):
+        share = 1 / np.sqrt(len(samples[lang]))
+        rows.append(features(samples[lang]) * share)
+        targets.append(np.where(np.arange(3) == n, 1.0, -1.0)[None, :].repeat(len(samples[lang]), 0) * share)
+    rows.append(np.sqrt(langid.RIDGE) * np.eye(9))
+    targets.append(np.zeros((9, 3)))
+    weights = np.linalg.lstsq(np.vstack(rows), np.vstack(targets), rcond=None)[0]
+    asked = ["the old dog", "une vieille maison", "katze und hund", "x"]
+    outputs = features(asked) @ weights
+    best, score, margin = model.score(langid.presence(asked))
+    shares = np.exp(langid.SHARPNESS * outputs)
+    assert best.tolist() == outputs.argmax(axis=1).tolist()
+    assert np.allclose(score, (shares / shares.sum(axis=1, keepdims=True)).max(axis=1), atol=1e-3)
+    ordered = np.sort(outputs, axis=1)
+    assert np.allclose(margin, ordered[:, -1] - ordered[:, -2], atol=1e-3)
+
+
+def test_thousands_of_labels_are_bounded(spark):
+    rows = [(i, f"some words of label {i % 2500}", f"l{i % 2500:04d}") for i in range(5000)]
+    df = spark.createDataFrame([*rows, *((9000 + i, "often seen here", "l2499") for i in range(5))], "doc_id long, text string, lang string")
+    model = langid.learn(df, sample_rows=400, landmarks=50)
+    assert len(model.languages) == langid.MOST_LANGUAGES and "l2499" in model.languages and "l0000" in model.languages
+
+
+def test_margins_tell_foreign_text(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs.where(~langid.held_out(docs.doc_id)).select("doc_id", "text", "lang"))
+    clean = docs.join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    found = [r.margin for r in langid.predict(clean, model).collect()]
+    assert sum(m < langid.LEAST_MARGIN for m in found) <= 0.002 * len(found)
+    # fixed values: the first article of the Declaration of Human Rights in languages that weren't learned, and no language
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "qzkw vjxp bnfh ytgd rrlm cxzq wpvk hjbn gfdt ylqm " * 8,
+    ]
+    asked = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+    assert all(r.margin < langid.LEAST_MARGIN for r in langid.predict(asked, model).collect())
 
 
 def test_held_out_accuracy(spark):
