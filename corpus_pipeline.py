@@ -16,9 +16,12 @@ from strataweave.llm.common import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a text without a letter goes."""
+    """Documents in a language that was learned; a text without a letter, or whose margin is below the least, goes.
+
+    Where no labelled row can be learned from, all documents with a letter stay.
+    """
     model = langid.learn(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return langid.predict(docs, model, carry=True).where(F.col("lang_pred") != langid.UNKNOWN).select("row.*")
+    return langid.predict(docs, model, carry=True).where(F.col("margin") >= langid.LEAST_MARGIN).select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +30,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates; of repeated rows one. Rows without an id stay."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.union(docs.where("doc_id is null")).select(docs.columns)
+    """One document of each group of near duplicates, with or without ids: that of the smallest id."""
+    return minhash.first_of_groups(docs, width=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
