@@ -8,7 +8,8 @@
    only the first they meet, and the places of the others (copies) aside.
 2. Buckets. Every different fragment that has copies goes on with its bytes, and
    so does every one that shares with another of its anchor the whole longer side
-   that a common window would have.
+   that a common window would have. Those that only have copies need no others
+   beside them; neighbours of one text go on as one stretch.
 3. Suffix arrays. Per shard of such fragments the Burrows-Wheeler transform is
    extended backward breadth first from the empty string, interval by interval;
    each round settles the places where the common prefix of neighbours has the
@@ -63,7 +64,9 @@ LEAST_BUCKETS = 64
 NULL_ID = np.iinfo(np.int64).max
 _PLACE_BITS = 24
 
-CUT, ASK, ASK_WINDOWS, WINDOW, COPY, CLASSED = 0, 1, 2, 3, 4, 5
+CUT, ASK, ASK_WINDOWS, WINDOW, COPY, CLASSED, ALONE = 0, 1, 2, 3, 4, 5, 6
+#: Bytes of a stretch of neighbouring fragments, about.
+STRETCH_BYTES = 1 << 15
 _FOUND = "kind int, id_key long, row_key long, start long, n long, key long, key2 long"
 _FOUND_NAMES = ["kind", "id_key", "row_key", "start", "n", "key", "key2"]
 
@@ -355,7 +358,8 @@ def _resolved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not len(one):
         return
     # fragments can share a window only if they share the whole side of the anchor that has most of it
-    several = _any(copied[order] | later, new)
+    copied = _any(copied[order] | later, new)
+    several = np.zeros(len(one), bool)
     for s in sides:
         _, which, many = np.unique(_mixed(anchor[one] + s[one]), return_inverse=True, return_counts=True)
         several |= (many > 1)[which] & (s[one] > 0)
@@ -363,14 +367,28 @@ def _resolved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _, which = np.unique(anchor[one], return_inverse=True)
     total = np.bincount(which, np.where(several, n[one] + LENGTH, 0))
     windows = heavy[one] | (several & (total > SHARD_BYTES)[which])
-    for kind, own in ((ASK_WINDOWS, one[windows]), (ASK, one[several & ~windows])):
+    for kind, own in ((ASK_WINDOWS, one[windows]), (ASK, one[several & ~windows]), (ALONE, one[copied & ~several & ~windows])):
         yield _found(kind, doc[own], row[own], start[own], n[own], anchor[own].view(np.int64), content[own].view(np.int64))
 
 
+def _stretches(row: int, fragments: list[dict]) -> list[dict]:
+    """Neighbouring fragments of a text as one, each with a key of its own."""
+    out: list[dict] = []
+    for x in sorted(fragments, key=lambda x: x["start"]):
+        if out and out[-1]["start"] + out[-1]["n"] == x["start"] and out[-1]["n"] < STRETCH_BYTES:
+            out[-1]["n"] += x["n"]
+        else:
+            out.append({"start": x["start"], "n": x["n"], "key": (row ^ x["start"] * 0x9E3779B97F4A7C15) % (1 << 63), "key2": 0})
+    return out
+
+
 def _fetched(shards: int):
     """The bytes of asked fragments (kind ASK), or the hashes of their windows."""
     names = [*_FOUND_NAMES, "shard", "bytes"]
 
+    def bare(x: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.int32()), pa.nulls(x.num_rows, pa.binary())], names)
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
@@ -379,19 +397,21 @@ def _fetched(shards: int):
                     continue
                 before = doc, row
                 asked = [x for x in asked if x["start"] + x["n"] + LENGTH - 1 <= len(text)]
-                plain, wide = ([x for x in asked if x["kind"] == k] for k in (ASK, ASK_WINDOWS))
+                plain, wide, alone = ([x for x in asked if x["kind"] == k] for k in (ASK, ASK_WINDOWS, ALONE))
+                classed = wide + alone
+                plain += _stretches(row, alone)
                 if plain:
                     found = _found(ASK, [doc] * len(plain), [row] * len(plain), *([x[k] for x in plain] for k in ("start", "n", "key", "key2")))
                     pieces = [text[x["start"] : x["start"] + x["n"] + LENGTH - 1] for x in plain]
                     shard = pa.array([x["key"] % shards for x in plain], pa.int32())
                     yield pa.RecordBatch.from_arrays([*found.columns, shard, pa.array(pieces, pa.binary())], names)
                 if wide:
-                    starts, counts, key, key2 = (np.array([x[k] for x in wide], np.int64) for k in ("start", "n", "key", "key2"))
+                    starts, counts = (np.array([x[k] for x in wide], np.int64) for k in ("start", "n"))
                     at, (h1, h2) = _window_hashes(np.frombuffer(text, np.uint8), starts, counts)
                     found = _found(WINDOW, np.full(len(at), doc), np.full(len(at), row), at, np.full(len(at), LENGTH), h1, h2)
-                    classed = _found(CLASSED, np.full(len(wide), doc), np.full(len(wide), row), starts, counts, key, key2)
-                    for x in (found, classed):
-                        yield pa.RecordBatch.from_arrays([*x.columns, pa.nulls(x.num_rows, pa.int32()), pa.nulls(x.num_rows, pa.binary())], names)
+                    yield bare(found)
+                if classed:
+                    yield bare(_found(CLASSED, [doc] * len(classed), [row] * len(classed), *([x[k] for x in classed] for k in ("start", "n", "key", "key2"))))
 
     return fetch
 
@@ -436,7 +456,7 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     symbols[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + len(texts)
     symbols[~inner] = np.arange(len(texts))
     # ranks of doubling need small numbers: the symbols that occur, in order
-    symbols = np.unique(symbols, return_inverse=True)[1]
+    symbols = (np.cumsum(np.bincount(symbols) > 0) - 1)[symbols]
     order = suffix_order(symbols, length + 1)
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
@@ -463,10 +483,10 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
         kept = np.repeat(fresh, last - first + 1)
         rows, interval = at[kept], (np.cumsum(new) - 1)[kept]
     group = np.cumsum(settled[:-1])
-    text = np.searchsorted(ends, order, side="right")
-    place = order - (ends[text] - sizes[text] - 1)
-    whole = place + length <= sizes[text]
-    return text[whole], place[whole], group[whole]
+    text = np.repeat(np.arange(len(texts)), sizes + 1)
+    place = np.arange(n) - (ends - sizes - 1)[text]
+    whole = (place + length <= sizes[text])[order]
+    return text[order[whole]], place[order[whole]], group[whole]
 
 
 def _sharded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,11 +502,12 @@ def _sharded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += own
         if size + following > SHARD_BYTES:
             text, place, group = repeated_windows(pieces[begin:b], LENGTH)
+            classed = np.unique(text) + begin
+            text, place, group = (x[np.bincount(group)[group] > 1] for x in (text, place, group))
             w_doc, w_row, w_start = doc[begin:b][text], row[begin:b][text], start[begin:b][text] + place
             order, _, later = _first(group, place=(w_doc, w_row, w_start))
             cut = order[later]
             yield _cuts(w_doc[cut], w_row[cut], w_start[cut], w_start[cut] + LENGTH)
-            classed = np.unique(text) + begin
             yield _found(CLASSED, doc[classed], row[classed], start[classed], n[classed], key[classed], key2[classed])
             size, begin = 0, b
 
@@ -527,9 +548,9 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     entries = keyed.mapInArrow(_anchored(buckets), "bucket int, kind int, entries binary")
     found = written(entries.groupBy("bucket").applyInArrow(_resolved, _FOUND), "substrings-found")
 
-    asked = found.where(F.col("kind").isin(ASK, ASK_WINDOWS))
+    asked = found.where(F.col("kind").isin(ASK, ASK_WINDOWS, ALONE))
     per_row = asked.groupBy("id_key", "row_key").agg(F.collect_list(F.struct("kind", "start", "n", "key", "key2")).alias("asked"))
-    size = found.where(F.col("kind") == ASK).agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
+    size = found.where(F.col("kind").isin(ASK, ALONE)).agg(F.sum(F.when(F.col("kind") == ASK, F.col("n") + LENGTH).otherwise(F.col("n")))).first()[0] or 0
     shards = max(LEAST_BUCKETS, size // (4 * SHARD_BYTES))
     # written, so that both sides of the join are plain shuffles, which adaptive execution can split
     with_texts = keyed.join(written(per_row, "substrings-asked"), ["id_key", "row_key"])
@@ -540,8 +561,9 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     copies = found.where(F.col("kind") == COPY).join(classed, ["key", "key2"]).withColumn("n", F.col("n") + LENGTH - 1)
     windows = found.where(F.col("kind") == WINDOW).unionByName(fetched.where(F.col("kind") == WINDOW).drop("shard", "bytes"))
     place = F.struct("id_key", "row_key", "start")
-    first = windows.groupBy("key", "key2").agg(F.min(place).alias("first"))
-    later = windows.join(first, ["key", "key2"]).where(place != F.col("first"))
+    first = windows.groupBy("key", "key2").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
+    later = windows.join(written(first, "substrings-windows"), ["key", "key2"]).where(place != F.col("first"))
     cuts = [x.where(F.col("kind") == CUT) for x in (found, among)]
     names = ["id_key", "row_key", "start", "n"]
     return cuts[0].select(names).union(cuts[1].select(names)).union(copies.select(names)).union(later.select(names))

@@ -116,7 +116,7 @@ def test_every_cut_follows_from_a_class(spark):
     sent = [x for i in range(3) for x in block.add((i, 0), t)] + [*block.flush(), *block.send()]
     found = [r for x in sent for r in substrings._resolved(iter([x.select(["kind", "entries"])]))]
     kinds = {k for x in found for k in x.column("kind").to_pylist()}
-    assert kinds == {substrings.COPY, substrings.ASK}
+    assert kinds == {substrings.COPY, substrings.ALONE}
 
 
 def test_classes_of_the_transform_are_equal_strings():
