@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def framed(text: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data).cast("long")), 16, "0")), data)
 
 
+def distinct_text(values: Sequence[Column]) -> Column:
+    """One text of several, different for different values; nulls differ from empty texts."""
+    return F.concat(*[F.coalesce(F.concat(F.lit("="), F.length(v), F.lit(":"), v), F.lit("-")) for v in values])
+
+
 def framed_array(texts: Column) -> Column:
     """The framed parts of an array, one after the other, as hexadecimal text."""
     return F.array_join(F.transform(texts, lambda t: F.hex(framed(t))), "")

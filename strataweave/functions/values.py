@@ -11,8 +11,13 @@ ELLIPSIS = "…"
 
 def exact_integer(x: Column) -> Column:
     """The integer that a double is exactly, within the signed and unsigned 64-bit range; else null."""
-    whole = (x == F.floor(x)) & (x >= F.lit(-9223372036854775808.0)) & (x < F.lit(18446744073709551616.0))
-    return F.when(whole & ~F.isnan(x), x.cast("decimal(38,0)"))
+    # floor gives a long, and a cast to decimal goes by the shortest digits: both halves are exact instead
+    half = F.lit(4294967296.0)
+    whole = (x == F.rint(x)) & (x >= F.lit(-9223372036854775808.0)) & (x < F.lit(18446744073709551616.0))
+    high = F.floor(x / half)
+    low = (x - high * half).cast("long")
+    exact = high.cast("decimal(20,0)") * F.lit(4294967296).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    return F.when(whole & ~F.isnan(x), exact.cast("decimal(38,0)"))
 
 
 def row_id_of_float(x: Column, *, single: bool = False) -> Column:
@@ -21,21 +26,31 @@ def row_id_of_float(x: Column, *, single: bool = False) -> Column:
     return F.when((F.abs(x) <= most) & (x == F.floor(x)), x.cast("long"))
 
 
+_INTEGER = r"\A[+-]?[0-9]{1,38}\z"
+_FLOAT = r"(?i)\A[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)(e[+-]?[0-9]+)?\z|\A[+-]?(nan|inf|infinity)\z"
+_BOOLEAN = r"(?i)\A(true|false)\z"
+
+
 def canonical(raw: Column, kind: str) -> Column:
-    """Canonical text of a raw text: integers and integral floats share one, NaN and zero have one each."""
+    """Canonical text of a raw text: integers and integral floats share one, NaN and zero have one each.
+
+    A text that isn't of its kind stands for itself alone, as text; null stays null.
+    """
+    text = F.concat(F.lit("s:"), raw)
     if kind == "integer":
-        return F.concat(F.lit("i:"), raw.try_cast("decimal(38,0)").cast("string"))
+        return F.when(raw.rlike(_INTEGER), F.concat(F.lit("i:"), raw.try_cast("decimal(38,0)").cast("string"))).otherwise(text)
     if kind == "float":
         x = raw.try_cast("double")
         whole = exact_integer(x)
-        return (
+        value = (
             F.when(F.isnan(x), F.lit("f:nan"))
             .when(whole.isNotNull(), F.concat(F.lit("i:"), whole.cast("string")))
             .otherwise(F.concat(F.lit("f:"), x.cast("string")))
         )
+        return F.when(raw.rlike(_FLOAT), value).otherwise(text)
     if kind == "boolean":
-        return F.concat(F.lit("b:"), raw.try_cast("boolean").cast("string"))
-    return F.concat(F.lit("s:"), raw)
+        return F.when(raw.rlike(_BOOLEAN), F.concat(F.lit("b:"), F.lower(raw))).otherwise(text)
+    return text
 
 
 def preview(text: Column, most: int = PREVIEW_CHARS) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.functions.ids import distinct_text
 from strataweave.operators.diff import ADDED_ROW, WHOLE_ROW
 from strataweave.operators.units import Unit
 
@@ -89,7 +90,7 @@ def ledger(table: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     that no task gathers more, and stretches are hashed where they are.
     """
     place = F.coalesce("base_pos", key)
-    text = F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    text = distinct_text([F.col(f).cast("string") for f in (key, *fields)])
     rows = table.select(F.when(F.col("is_added"), "added").otherwise("base").alias("section"), F.floor(place / LEDGER_ROWS).alias("stretch"), place.alias("place"), F.sha2(text, 256).alias("row_hash"))
     grouped = rows.groupBy("section", "stretch").agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list(F.struct("place", "row_hash"))).alias("hashes"))
     joined = F.array_join(F.transform("hashes", lambda x: x.row_hash), "")

@@ -6,12 +6,13 @@ some donor differs from the base exactly if not all values are equal.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.operators.units import semantic, unit_hash
+from strataweave.functions.ids import distinct_text
+from strataweave.operators.units import Unit, semantic, unit_hash
 
 FIELD_VALUE, ATOMIC_GROUP, ROW_ID_COLLISION = "FIELD_VALUE", "ATOMIC_GROUP", "ROW_ID_COLLISION"
 STRUCTURE_MISMATCH, ENCODING_DRIFT, OPAQUE_PACKAGE = "STRUCTURE_MISMATCH", "ENCODING_DRIFT", "OPAQUE_PACKAGE"
@@ -35,12 +36,36 @@ def unit_differences(long: DataFrame, key: str) -> DataFrame:
     return seen.where("first = 0 and n_variants > 1 and (meaning or bytes)").select(key, "unit_id", "unit_pos", kind.alias("kind"), "n_variants")
 
 
+def row_differences(rows: DataFrame, key: str, units: Sequence[Unit], kinds: Mapping[str, str]) -> DataFrame:
+    """What ``unit_differences`` finds, from whole rows: one grouping, and only units that differ become rows."""
+    texts, seen, found = [], [], []
+    for n, u in enumerate(units):
+        plain = all(kinds[f] not in ("integer", "float", "boolean") for f in u.fields)  # meaning and bytes are one
+        texts.append(distinct_text([F.col(f).cast("string") for f in u.fields]).alias(f"raw{n}"))
+        seen.append(differs(f"raw{n}").alias(f"bytes{n}"))
+        meaning = F.col(f"bytes{n}")
+        if not plain:
+            texts.append(distinct_text([semantic(kinds, f) for f in u.fields]).alias(f"sem{n}"))
+            seen.append(differs(f"sem{n}").alias(f"meaning{n}"))
+            meaning = F.col(f"meaning{n}")
+        kind = F.when(meaning, F.lit(ATOMIC_GROUP if u.atomic else FIELD_VALUE)).otherwise(F.lit(ENCODING_DRIFT))
+        found.append(F.when(F.col(f"bytes{n}"), F.struct(F.lit(u.id).alias("unit_id"), F.lit(n).alias("unit_pos"), kind.alias("kind"))))
+    grouped = rows.select(key, "input_index", *texts).groupBy(key).agg(F.min("input_index").alias("first"), F.count("*").alias("n_variants"), *seen)
+    units_found = F.array_compact(F.array(*found))
+    return grouped.where("first = 0 and n_variants > 1").select(key, "n_variants", F.inline(units_found)).select(key, "unit_id", "unit_pos", "kind", "n_variants")
+
+
 def shape_mismatches(rows: DataFrame, key: str, shape: str) -> DataFrame:
     """Rows whose holders have different field lists: one choice for the whole row."""
     seen = rows.groupBy(key).agg(F.min("input_index").alias("first"), F.count("*").alias("n_variants"), differs(shape).alias("differs"))
     return seen.where("first = 0 and differs").select(key, F.lit(WHOLE_ROW).alias("unit_id"), F.lit(STRUCTURE_MISMATCH).alias("kind"), "n_variants")
 
 
+def with_row_texts(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """The rows with texts in place of the hashes, for where they are only compared."""
+    return rows.withColumn("raw_hash", distinct_text([F.col(f).cast("string") for f in kinds])).withColumn("sem_hash", distinct_text([semantic(kinds, f) for f in kinds]))
+
+
 def with_row_hashes(rows: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     """The rows with raw_hash and sem_hash over all their fields."""
     raw = unit_hash(list(kinds), [F.col(f).cast("string") for f in kinds])

@@ -98,9 +98,9 @@ def input_errors(inputs: DataFrame, base_id: str) -> DataFrame:
     return total.select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(why)) for c, why in checks]))).alias("error"))
 
 
-def too_many_conflicts(conflicts: DataFrame) -> bool:
+def too_many_conflicts(conflicts: DataFrame, most: int = MOST_CONFLICTS) -> bool:
     """Whether a plan has more conflicts than it may; counts one more than the limit at most."""
-    return conflicts.limit(MOST_CONFLICTS + 1).count() > MOST_CONFLICTS
+    return conflicts.limit(most + 1).count() > most
 
 
 def duplicate_outputs(paths: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.functions.ids import UNIT, framed_array
+from strataweave.functions.ids import UNIT, framed
 from strataweave.functions.values import canonical
 
 WHOLE_FIELDS, PARALLEL_ITEMS = "whole_fields", "parallel_array_items"
@@ -53,7 +53,7 @@ def plan_units(kinds: Mapping[str, str], groups: Sequence[tuple[str, Sequence[st
 def unit_hash(names: Sequence[str], values: Sequence[Column]) -> Column:
     """SHA-256 over the framed names and values of a unit; a null value differs from an empty one."""
     parts = [p for n, v in zip(names, values, strict=True) for p in (F.lit(n), F.coalesce(F.concat(F.lit("="), v), F.lit("")))]
-    return F.sha2(F.concat(F.lit(UNIT).cast("binary"), F.unhex(framed_array(F.array(*parts)))), 256)
+    return F.sha2(F.concat(F.lit(UNIT).cast("binary"), *[framed(p) for p in parts]), 256)
 
 
 def semantic(kinds: Mapping[str, str], field: str) -> Column:

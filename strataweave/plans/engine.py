@@ -36,26 +36,32 @@ class Session:
 
 
 def analyze(
-    inputs: Sequence[DataFrame], asset: str, key: str, kinds: Mapping[str, str], groups: Sequence[tuple[str, Sequence[str], bool]] = (), input_ids: Sequence[str] | None = None
+    inputs: Sequence[DataFrame], asset: str, key: str, kinds: Mapping[str, str], groups: Sequence[tuple[str, Sequence[str], bool]] = (), input_ids: Sequence[str] | None = None, most_conflicts: int | None = None
 ) -> Session:
     """Compares donors with the base (the first input) and names every conflict.
 
-    Inputs have the key, ``row_pos`` and the fields of ``kinds``. A pure function
-    of its inputs: the plan id is the same whenever they are.
+    Inputs have the key, ``row_pos`` and the fields of ``kinds``; one that has a
+    key twice is refused, and so are more than ``most_conflicts`` conflicts, if
+    that is given. A pure function of its inputs: the plan id is the same
+    whenever they are.
     """
     ids = tuple(input_ids or (f"in-{n}" for n in range(len(inputs))))
     units = plan_units({key: "integer", **kinds}, groups, key)
     rows = written(align.tagged(inputs), "overlays")
-    long = long_form(rows, key, units, kinds)
-    differences = written(diff.unit_differences(long, key), "differences")
-    added = diff.added_rows(diff.with_row_hashes(rows, kinds), key).where("collides")
+    repeated = align.duplicate_keys(rows, "input_index", key).limit(1).collect()
+    if repeated:
+        raise MergeError(f"{ids[repeated[0].input_index]} has the key {repeated[0][key]} {repeated[0].copies} times")
+    differences = written(diff.row_differences(rows, key, units, kinds), "differences")
+    # hashes are of rows with differences alone
+    long = long_form(rows.join(differences.select(key).distinct(), key, "left_semi"), key, units, kinds)
+    added = diff.added_rows(diff.with_row_texts(rows, kinds), key).where("collides")
     whole = rows.join(added.select(key), key, "left_semi")
     collisions = diff.with_row_hashes(whole, kinds).select(key, "input_index", F.lit(diff.ADDED_ROW).alias("unit_id"), "raw_hash", F.lit(diff.ROW_ID_COLLISION).alias("kind"))
     own = diff.variants(differences, long, key).select(key, "input_index", "unit_id", "raw_hash", "kind")
     made, found = plans.with_ids(own.union(collisions), asset, key, ids)
     conflicts = written(found, "conflicts")
-    if too_many_conflicts(conflicts.where(resolve.blocking(F.col("kind")))):
-        raise MergeError(f"over {plans.MOST_CONFLICTS} conflicts in {asset}")
+    if most_conflicts is not None and too_many_conflicts(conflicts.where(resolve.blocking(F.col("kind"))), most_conflicts):
+        raise MergeError(f"over {most_conflicts} conflicts in {asset}")
     variants = written(made.join(conflicts.select(key, "unit_id", "conflict_id"), [key, "unit_id"]), "variants")
     drift = conflicts.where(F.col("kind") == diff.ENCODING_DRIFT)
     plan_id = plans.summary(conflicts.where(resolve.blocking(F.col("kind"))), drift, ids, ids[0], "generic").first().plan_id

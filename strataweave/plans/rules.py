@@ -133,8 +133,12 @@ def validate(profile: Profile, key: str | None = None) -> None:
 
 
 def read_profiles(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> list[Profile]:
-    """Profiles of JSON files; a registry holds 64 at most, each of at most a megabyte."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).where(F.col("length") <= most_bytes).limit(MOST["profiles"] + 1).collect()
+    """Profiles of JSON files; a registry holds 64 at most, each of at most ``most_bytes``. More, or larger ones, raise ProfileError."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path)
+    large = files.where(F.col("length") > most_bytes).select("path").limit(1).collect()
+    if large:
+        raise ProfileError(f"over {most_bytes} bytes: {large[0].path}")
+    rows = files.where(F.col("length") <= most_bytes).limit(MOST["profiles"] + 1).collect()
     if len(rows) > MOST["profiles"]:
         raise ProfileError(f"over {MOST['profiles']} profiles")
     found = [parse_profile(bytes(r.content).decode()) for r in sorted(rows, key=lambda r: r.path)]

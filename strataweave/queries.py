@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from strataweave.functions import ids, paths, values
 from strataweave.operators import align, apply, diff, refs, units, verify
 from strataweave.plans import plan, resolve, rules
+from strataweave.sources.folders import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,11 +121,11 @@ def _long(spark, sf_dir):
 
 
 def _differences(spark, sf_dir):
-    return diff.unit_differences(_long(spark, sf_dir), "row_id")
+    return diff.row_differences(overlays(spark, sf_dir), "row_id", UNITS, KINDS)
 
 
 def _added(spark, sf_dir):
-    return diff.added_rows(diff.with_row_hashes(overlays(spark, sf_dir), KINDS), "row_id")
+    return diff.added_rows(diff.with_row_texts(overlays(spark, sf_dir), KINDS), "row_id")
 
 
 @query(f"with {P_SQL} select row_id, list(input_index order by input_index)::varchar as holders, count(*)::int as n_holders from p group by row_id")
@@ -257,8 +258,10 @@ def conflicts(spark, sf_dir):
 
 
 def _identified(spark, sf_dir):
-    long = _long(spark, sf_dir)
-    made = diff.variants(diff.unit_differences(long, "row_id"), long, "row_id")
+    rows = overlays(spark, sf_dir)
+    found = written(diff.row_differences(rows, "row_id", UNITS, KINDS), "differences")
+    long = units.long_form(rows.join(found.select("row_id").distinct(), "row_id", "left_semi"), "row_id", UNITS, KINDS)
+    made = diff.variants(found, long, "row_id")
     return plan.with_ids(made, ASSET, "row_id", INPUT_IDS)
 
 
@@ -447,7 +450,7 @@ def preserved_replaced_counts(spark, sf_dir):
 @query(
     f"""with {APPLY_SQL}, l as (
   select case when is_added then 'added' else 'base' end as section, coalesce(base_pos, row_id) as place,
-    sha256(concat_ws('|', row_id::varchar, coalesce(status, ''), coalesce(priority, ''), coalesce(custkey, ''), coalesce(day, ''), coalesce(cents::varchar, ''))) as row_hash
+    sha256({" || ".join(f"coalesce('=' || length({c}::varchar) || ':' || {c}, '-')" for c in ("row_id", "status", "priority", "custkey", "day", "cents"))}) as row_hash
   from m
 )
 select section, place // 1024 as stretch, count(*) as n_rows, sha256(string_agg(row_hash, '' order by place)) as digest from l group by 1, 2"""
@@ -885,6 +888,51 @@ def row_id_from_float(spark, sf_dir):
     return spark.createDataFrame(rows, "n int, value double").select("n", values.row_id_of_float(v).alias("wide"), values.row_id_of_float(v, single=True).alias("narrow"))
 
 
+@query(
+    """select * from (values (0, '9300000000000000000'), (1, '10000000000000000000'), (2, null), (3, '9223372036854775808'), (4, '-9223372036854775808'), (5, null),
+  (6, null), (7, '0'), (8, '18446744073709549568'), (9, '9007199254740993'::varchar), (10, null), (11, null)) t(n, whole) where n <> 9
+  union all select 9, '9007199254740992'"""
+)
+def exact_int_wide(spark, sf_dir):
+    """Doubles at the ends of the signed and unsigned 64-bit range."""
+    rows = [9.3e18, 1e19, 2.0**64, 2.0**63, -(2.0**63), -1e19, 1.5, -0.0, 2.0**64 - 2048, 2.0**53 + 1, float("nan"), float("inf")]
+    made = spark.createDataFrame(list(enumerate(rows)), "n int, value double")
+    return made.select("n", values.exact_integer(F.col("value")).cast("string").alias("whole"))
+
+
+#: Kind, raw text, what it stands for.
+EDGE_VALUES = [
+    ("integer", "007", "i:7"), ("integer", "+7", "i:7"), ("integer", "-0", "i:0"), ("integer", "abc", "s:abc"), ("integer", "xyz", "s:xyz"), ("integer", "1.4", "s:1.4"), ("integer", "", "s:"),
+    ("integer", " 1", "s: 1"), ("integer", None, None), ("float", "1", "i:1"), ("float", "1.0", "i:1"), ("float", "1e3", "i:1000"), ("float", "-0.0", "i:0"), ("float", "1.5", "f:1.5"),
+    ("float", "NaN", "f:nan"), ("float", "abc", "s:abc"), ("float", "1d", "s:1d"), ("float", None, None), ("boolean", "TRUE", "b:true"), ("boolean", "false", "b:false"), ("boolean", "yes", "s:yes"),
+    ("boolean", "1", "s:1"), ("text", "007", "s:007"), ("text", "", "s:"), ("text", None, None),
+]
+
+
+@query(
+    "select * from (values "
+    + ", ".join(f"('{k}', {'null' if r is None else repr(r)}, {'null' if c is None else repr(c)})" for k, r, c in EDGE_VALUES)
+    + ") t(kind, raw, canonical)"
+)
+def canonical_edge_values(spark, sf_dir):
+    made = spark.createDataFrame([(k, r) for k, r, _ in EDGE_VALUES], "kind string, raw string")
+    kind, raw = F.col("kind"), F.col("raw")
+    by_kind = F.when(kind == "integer", values.canonical(raw, "integer")).when(kind == "float", values.canonical(raw, "float"))
+    by_kind = by_kind.when(kind == "boolean", values.canonical(raw, "boolean")).otherwise(values.canonical(raw, "text"))
+    return made.select("kind", "raw", by_kind.alias("canonical"))
+
+
+@query(
+    f"with {P_SQL}, twice as (select * from p union all select * from p where input_index = 1 and row_id % 1000 = 0) "
+    "select input_index, row_id, count(*) as copies from twice group by 1, 2 having count(*) > 1"
+)
+def duplicate_key_guard(spark, sf_dir):
+    """What an analysis refuses: keys that one input has more than once."""
+    rows = overlays(spark, sf_dir)
+    twice = rows.unionByName(rows.where((F.col("input_index") == 1) & (F.col("row_id") % 1000 == 0)))
+    return align.duplicate_keys(twice, "input_index", "row_id")
+
+
 # sources and sinks: what was written, read again
 
 
@@ -892,7 +940,7 @@ def row_id_from_float(spark, sf_dir):
 def msgpack_roundtrip(spark, sf_dir):
     from strataweave.sources import msgpack_rows
 
-    rows = _orders(spark, sf_dir).select(F.concat(F.lit("part-"), (F.col("row_id") % 4).cast("string")).alias("asset"), F.col("row_id").alias("row_pos"), "row_id", "cents", "status")
+    rows = _orders(spark, sf_dir).select(F.concat(F.lit("part-"), F.floor(F.col("row_id") / 50000).cast("string")).alias("asset"), F.col("row_id").alias("row_pos"), "row_id", "cents", "status")
     packed = rows.mapInArrow(_pack_orders, "asset string, row_pos long, raw binary")
     files = msgpack_rows.write_tables(packed)
     back = msgpack_rows.read_tables(files)
@@ -912,7 +960,7 @@ def _pack_orders(batches):
 
 
 SQL["msgpack_roundtrip"] = (
-    f"with {P_SQL} select 'part-' || (row_id % 4) as asset, row_id, cents, status from o"
+    f"with {P_SQL} select 'part-' || (row_id // 50000) as asset, row_id, cents, status from o"
 )
 
 

@@ -204,7 +204,7 @@ def _modern_entries(file, footer: Footer, index: _Bytes, count: int) -> list[Ent
             raise ArchiveError(f"there is no {what}")
         offset, size = index.get("QQ")
         parts.append(_Bytes(_part(file, offset, size, index.read(20), what)))
-    encoded = index.read(index.get("I"))
+    encoded = _Bytes(index.read(index.get("I")))
     if index.get("I"):
         raise ArchiveError("entries that aren't encoded aren't read")
     hashes, folders = parts
@@ -216,7 +216,8 @@ def _modern_entries(file, footer: Footer, index: _Bytes, count: int) -> list[Ent
             path, at = (f"{folder}/" if folder else "") + folders.text(), folders.get("i")
             if by_hash.get(path_hash(path, seed)) != at:
                 raise ArchiveError(f"the indexes differ on {path}")
-            entries.append(_encoded(_Bytes(encoded[at:]), footer, path))
+            encoded.seek(at)
+            entries.append(_encoded(encoded, footer, path))
     if not len(entries) == count == len(by_hash):
         raise ArchiveError("the indexes differ in their number of entries")
     return entries

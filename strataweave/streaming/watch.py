@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from strataweave.operators import align, diff
-from strataweave.operators.units import Unit, long_form
+from strataweave.operators.units import Unit
 
 
 def watch_donors(base: DataFrame, donors: DataFrame, key: str, units: Sequence[Unit], kinds: Mapping[str, str], out: str, checkpoint: str) -> StreamingQuery:
@@ -22,7 +22,7 @@ def watch_donors(base: DataFrame, donors: DataFrame, key: str, units: Sequence[U
     def compare(batch: DataFrame, number: int) -> None:
         held = base.join(batch.select(key).distinct(), key, "left_semi")
         rows = align.tagged([held, batch])
-        found = diff.unit_differences(long_form(rows, key, units, kinds), key)
+        found = diff.row_differences(rows, key, units, kinds)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return donors.writeStream.foreachBatch(compare).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

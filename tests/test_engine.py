@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataweave.operators import lookup
+from strataweave.operators import apply, lookup
 from strataweave.plans import engine, resolve
 
 KINDS = {"a": "integer", "b": "text"}
@@ -71,3 +71,18 @@ def test_guards(spark, rows):
     files = spark.createDataFrame([("x/Local/Npc/SetListA.uexp",), ("X/LOCAL/npc/other",), ("x/local/npc/SETLIST",)], "path string")
     assert lookup.placement_assets(files, "local/npc/", "setlist").count() == 2
     assert rows(lookup.duplicate_outputs(spark.createDataFrame([("A",), ("a",), ("b",)], "path string")), "path_key") == [("a",)]
+
+
+def test_a_key_twice_in_one_input_is_refused(spark):
+    base = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 2, "c")], "k long, row_pos long, v string")
+    with pytest.raises(engine.MergeError, match="in-0 has the key 1 2 times"):
+        engine.analyze([base, base.where("k = 2")], "t", "k", {"v": "text"})
+
+
+def test_a_ledger_tells_where_fields_end_and_nulls_from_empty_texts(spark):
+    rows = [("x|y", "z"), ("x", "y|z"), (None, "z"), ("", "z")]
+    digests = set()
+    for a, b in rows:
+        table = spark.createDataFrame([(1, a, b, False, 0)], "k long, a string, b string, is_added boolean, base_pos long")
+        digests.add(apply.ledger(table, "k", ["a", "b"]).first().digest)
+    assert len(digests) == 4
