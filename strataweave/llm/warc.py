@@ -1,19 +1,24 @@
 """WARC archives as a PySpark data source: ``spark.read.format("warc")``.
 
 Reading plans one partition per archive file. Predicates on ``record_type``,
-``target_uri`` and ``payload_digest`` are pushed down. The headers of a record
-are parsed first; a record that the predicates exclude, or whose payload isn't
-asked for (option ``payload``: ``false``), is skipped without decoding it: by
-its Content-Length where the file isn't compressed, and by the ``sl``
-skip-lengths field of its gzip member where it is.
+``target_uri``, ``payload_digest``, ``record_id`` and ``refers_to`` are pushed
+down. The headers of a record are parsed first; a record that the predicates
+exclude, or whose payload isn't asked for (option ``payload``: ``false``), is
+skipped without keeping any of it: by its Content-Length where the file isn't
+compressed, by the ``sl`` skip-lengths field of its gzip member where it has
+one. Other gzip members, of one record or of many, are inflated to their end in
+pieces, of which only headers and wanted payloads are kept. What is read to a
+member's end is checked against its CRC.
 
 Writing puts one gzip member per record into files of about ``file_mb``
 megabytes. A file counts once the driver has listed it in the manifest on
 commit, so that files of failed or repeated attempts are never read.
 
 Defined results
-- A null payload is written as an empty one, a null target or type as ``""``
-  (read back as null). Folders without a manifest are read by their ``.warc``
+- A null payload is written as an empty one. The header of a null target or
+  digest is left out (read back as null). A target with control characters is
+  written with them and its percent signs escaped, marked by a header of its
+  own, and read back as it was. Folders without a manifest are read by their ``.warc``
   and ``.warc.gz`` files. An empty table writes a manifest without files.
 - Cut-off records and malformed headers raise ValueError.
 """
@@ -27,6 +32,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,6 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from strataweave.llm.common import written
+
 SCHEMA = (
     "record_id string, record_type string, target_uri string, payload_digest string, refers_to string, "
     "payload_bytes long, payload binary, headers map<string,string>"
@@ -45,6 +53,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MANIFEST = "_MANIFEST.json"
 BATCH_BYTES = 8 << 20
 HEAD_BYTES = 64 << 10
+ESCAPED = "X-Target-URI-Escaped"
 _GZIP_HEAD = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
 
 
@@ -75,7 +84,8 @@ def record_bytes(row: dict) -> bytes:
         "WARC-Record-ID": f"<{row['record_id']}>",
         "WARC-Date": DATE,
         "WARC-Target-URI": _line(row["target_uri"]),
-        "WARC-Payload-Digest": f"sha1:{row['payload_digest']}",
+        ESCAPED: "percent" if _line(row["target_uri"]) != row["target_uri"] else None,
+        "WARC-Payload-Digest": f"sha1:{row['payload_digest']}" if row["payload_digest"] is not None else None,
         "WARC-Profile": REVISIT_PROFILE if revisit else None,
         "WARC-Refers-To": f"<{row['refers_to']}>" if revisit and row["refers_to"] else None,
         "Content-Type": "application/http; msgtype=response",
@@ -86,8 +96,22 @@ def record_bytes(row: dict) -> bytes:
 
 
 def _line(text: str | None) -> str | None:
-    """A header value: control characters and the percent sign before them are escaped."""
-    return None if text is None else "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in text)
+    """A header value: of a text with control characters, these and all percent signs are escaped."""
+    if text is None or not any(c < " " or c == "\x7f" for c in text):
+        return text
+    return "".join(f"%{ord(c):02X}" if c < " " or c in "\x7f%" else c for c in text)
+
+
+def _target(headers: dict[str, str]) -> str | None:
+    text = headers.get("WARC-Target-URI")
+    return unquote(text) if text is not None and ESCAPED in headers else text
+
+
+def _size(headers: dict[str, str]) -> int:
+    told = headers.get("Content-Length", "")
+    if not told.isdigit():
+        raise ValueError(f"a record without a length: {headers.get('WARC-Record-ID')}")
+    return int(told)
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -113,7 +137,7 @@ def _row(headers: dict[str, str], block: bytes | None) -> dict:
     return {
         "record_id": bare("WARC-Record-ID"),
         "record_type": headers.get("WARC-Type"),
-        "target_uri": headers.get("WARC-Target-URI"),
+        "target_uri": _target(headers),
         "payload_digest": digest.removeprefix("sha1:") if digest else None,
         "refers_to": bare("WARC-Refers-To"),
         "payload_bytes": size,
@@ -122,6 +146,59 @@ def _row(headers: dict[str, str], block: bytes | None) -> dict:
     }
 
 
+class _Inflated:
+    """What a gzip member holds, read onwards."""
+
+    def __init__(self, file):
+        self.file, self.unpacker, self.buffer = file, zlib.decompressobj(31), bytearray()
+
+    def _more(self) -> bool:
+        if self.unpacker.eof:
+            return False
+        data = self.unpacker.unconsumed_tail or self.file.read(HEAD_BYTES)
+        if not data:
+            raise ValueError("the archive ends inside a record")
+        try:
+            self.buffer += self.unpacker.decompress(data, 1 << 20)
+        except zlib.error as e:
+            raise ValueError(f"a damaged gzip member: {e}") from e
+        return True
+
+    def head(self) -> bytes | None:
+        """The next record's headers; None at the member's end."""
+        seen = 0
+        while (end := self.buffer.find(b"\r\n\r\n", seen)) < 0 or not self.buffer[:end].strip():
+            if end >= 0:  # blank lines between records
+                del self.buffer[: end + 4]
+                seen = 0
+                continue
+            seen = max(0, len(self.buffer) - 3)
+            if not self._more():
+                if self.buffer.strip():
+                    raise ValueError("the archive ends inside a record")
+                return None
+        out = bytes(self.buffer[:end])
+        del self.buffer[: end + 4]
+        return out.lstrip(b"\r\n")
+
+    def read(self, n: int, keep: bool) -> bytes:
+        """The next ``n`` bytes, or nothing, if they needn't be kept."""
+        out = bytearray()
+        while n:
+            part = self.buffer[:n]
+            del self.buffer[: len(part)]
+            n -= len(part)
+            if keep:
+                out += part
+            if n and not self._more():
+                raise ValueError("the archive ends inside a record")
+        return bytes(out)
+
+    def end(self) -> int:
+        """The place in the file after the member."""
+        return self.file.tell() - len(self.unpacker.unused_data)
+
+
 class _Stream:
     """Records of one archive: headers first, then the block or a skip over it."""
 
@@ -140,7 +217,20 @@ class _Stream:
             yield from self._packed(start) if start[:2] == b"\x1f\x8b" else self._plain(start)
 
     def _take(self, headers: dict[str, str]) -> bool:
-        return all(headers.get(name) in values for name, values in self.wants.items())
+        return all((_target(headers) if name == "WARC-Target-URI" else headers.get(name)) in values for name, values in self.wants.items())
+
+    def _member(self, at: int) -> Iterator[dict]:
+        self.file.seek(at)
+        member = _Inflated(self.file)
+        while (head := member.head()) is not None:
+            headers = _headers(head)
+            taken = self._take(headers)
+            keep = taken and self.with_payload
+            self.decoded += keep
+            body = member.read(_size(headers), keep)
+            if taken:
+                yield _row(headers, body if keep else None)
+        self.file.seek(member.end())
 
     def _plain(self, start: bytes) -> Iterator[dict]:
         head = bytearray(start)
@@ -153,7 +243,7 @@ class _Stream:
             head += more
         block, _, rest = bytes(head).partition(b"\r\n\r\n")
         headers = _headers(block.lstrip(b"\r\n"))
-        size = int(headers["Content-Length"])
+        size = _size(headers)
         at = self.file.tell() - len(rest)
         if self._take(headers):
             self.file.seek(at)
@@ -162,16 +252,15 @@ class _Stream:
         self.file.seek(at + size + 4)
 
     def _packed(self, start: bytes) -> Iterator[dict]:
-        if not start[3] & 4:
-            raise ValueError("gzip members need the sl skip-lengths field")
-        (extra_size,) = struct.unpack("<H", self._read(2))
-        extra = self._read(extra_size)
-        if extra[:2] != b"sl":
-            raise ValueError("gzip members need the sl skip-lengths field")
+        begin = self.file.tell() - len(start)
+        extra = self._read(struct.unpack("<H", self._read(2))[0]) if start[3] == 4 else b""
+        if extra[:2] != b"sl" or len(extra) != 12:  # any other member
+            yield from self._member(begin)
+            return
         packed, _ = struct.unpack("<II", extra[4:12])
         at = self.file.tell()
         unpacker = zlib.decompressobj(-15)
-        got, tail, head, seen = 0, b"", bytearray(), 0
+        got, tail, head, seen, crc = 0, b"", bytearray(), 0, 0
         while (end := head.find(b"\r\n\r\n", seen)) < 0:
             seen = max(0, len(head) - 3)
             if not tail:
@@ -181,6 +270,7 @@ class _Stream:
             if not more and not tail:
                 raise ValueError("the archive ends inside a record")
             head += more
+            crc = zlib.crc32(more, crc)
             tail = unpacker.unconsumed_tail
         block, rest = bytes(head[:end]), bytes(head[end + 4 :])
         headers = _headers(block)
@@ -189,9 +279,11 @@ class _Stream:
             if self.with_payload:
                 self.decoded += 1
                 left = self._read(packed - got) if packed > got else b""
-                body = rest + unpacker.decompress(tail + left) + unpacker.flush()
-                body = body[: int(headers["Content-Length"])]
-                if len(body) < int(headers["Content-Length"]):
+                more = unpacker.decompress(tail + left) + unpacker.flush()
+                if zlib.crc32(more, crc) != struct.unpack("<I", self._read(4))[0]:
+                    raise ValueError(f"a damaged record: {headers.get('WARC-Record-ID')}")
+                body = (rest + more)[: _size(headers)]
+                if len(body) < _size(headers):
                     raise ValueError("the archive ends inside a record")
             yield _row(headers, body)
         self.file.seek(at + packed + 8)
@@ -217,6 +309,8 @@ class WarcReader(DataSourceReader):
         "record_type": ("WARC-Type", str),
         "target_uri": ("WARC-Target-URI", str),
         "payload_digest": ("WARC-Payload-Digest", "sha1:{}".format),
+        "record_id": ("WARC-Record-ID", "<{}>".format),
+        "refers_to": ("WARC-Refers-To", "<{}>".format),
     }
 
     def __init__(self, options):
@@ -331,10 +425,9 @@ def with_revisits(records: DataFrame, *, min_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least ``min_bytes``, the record of the largest key
     is the response and the others revisit it; records that repeat that key are
-    responses too. A null key counts as the smallest.
+    responses too. A null key counts as the smallest. Other columns are dropped.
     """
-    digest = F.sha1("payload")
-    records = records.withColumn("sha1", digest)
+    records = records.select("record_key", "record_id", "target_uri", "payload", F.sha1("payload").alias("sha1"))
     groups = (
         records.where(F.length("payload") >= min_bytes)
         .groupBy("sha1")
@@ -342,6 +435,8 @@ def with_revisits(records: DataFrame, *, min_bytes: int = 0) -> DataFrame:
         .where("copies > 1")
         .select("sha1", "last")
     )
+    # written, so that both sides of the join are plain shuffles, which adaptive execution can split
+    groups = written(groups, "payloads")
     revisits = F.col("last").isNotNull() & ~F.col("record_key").eqNullSafe(F.col("last.record_key"))
     return records.join(groups, "sha1", "left").select(
         "record_id",

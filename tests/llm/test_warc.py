@@ -64,7 +64,7 @@ def test_plain_archives_and_damage():
     for data in (one * 3, b"".join([warc.member(one)] * 3)):
         found = list(warc._Stream(io.BytesIO(data), {}, True))
         assert [r["payload"] for r in found] == [b"abc"] * 3
-        assert found[0]["target_uri"] == "http://a/%0Ab"
+        assert found[0]["target_uri"] == "http://a/\nb"
         with pytest.raises(ValueError):
             list(warc._Stream(io.BytesIO(data[:-30]), {}, True))
     with pytest.raises(ValueError):
@@ -87,3 +87,45 @@ def test_members_without_the_end_of_headers_are_refused():
     whole = warc.record_bytes(RECORD)
     with pytest.raises(ValueError):
         list(warc._Stream(io.BytesIO(warc.member(whole[: whole.index(b"Content-Length")])), {}, True))
+
+
+def test_archives_of_other_writers():
+    """Members without lengths, with a name in their header, of many records, and one after the other."""
+    records = [warc.record_bytes({**RECORD, "record_id": f"urn:{n}", "record_type": t, "payload": bytes(range(256)) * 3000}) for n, t in enumerate(["response", "revisit", "response", "response"])]
+    named = io.BytesIO()
+    with gzip.GzipFile(filename="x.warc", mode="wb", fileobj=named) as f:
+        f.write(records[2])
+    each = b"".join(gzip.compress(r) for r in records)
+    for data in (each, gzip.compress(b"".join(records)), gzip.compress(records[0]) + records[1] + named.getvalue() + warc.member(records[3])):
+        found = list(warc._Stream(io.BytesIO(data), {}, True))
+        assert [(r["record_id"], r["record_type"]) for r in found] == [("urn:0", "response"), ("urn:1", "revisit"), ("urn:2", "response"), ("urn:3", "response")]
+        assert [r["payload"] for r in found] == [bytes(range(256)) * 3000, None, bytes(range(256)) * 3000, bytes(range(256)) * 3000]
+        stream = warc._Stream(io.BytesIO(data), {"WARC-Type": {"revisit"}}, True)
+        assert [r["record_id"] for r in stream] == ["urn:1"] and stream.decoded == 1
+        assert all(r["payload"] is None for r in warc._Stream(io.BytesIO(data), {}, False))
+        with pytest.raises(ValueError):
+            list(warc._Stream(io.BytesIO(data[:-40]), {}, True))
+    for data in (each, b"".join(map(warc.member, records))):
+        damaged = bytearray(data)
+        damaged[-6] ^= 1  # in the last member's CRC
+        with pytest.raises(ValueError):
+            list(warc._Stream(io.BytesIO(bytes(damaged)), {}, True))
+
+
+def test_targets_come_back_as_they_were():
+    targets = ["http://a/%0Ab", "http://a/\nb", "http://a/%250A\tb\x7f", "http://a/%zz", "", None]
+    lines = [warc.record_bytes({**RECORD, "target_uri": t}) for t in targets]
+    assert len(set(lines)) == len(targets)
+    assert [r["target_uri"] for r in warc._Stream(io.BytesIO(b"".join(map(warc.member, lines))), {}, True)] == targets
+    wanted = warc._Stream(io.BytesIO(b"".join(map(warc.member, lines))), {"WARC-Target-URI": {"http://a/\nb"}}, True)
+    assert [r["target_uri"] for r in wanted] == ["http://a/\nb"]
+
+
+def test_columns_of_clashing_names_and_pushed_ids(spark):
+    warc.register(spark)
+    df = spark.createDataFrame([(n, f"urn:x-page:{n}", "u", bytearray(b"same"), "l", "s", 1) for n in (1, 2)], "record_key long, record_id string, target_uri string, payload binary, last string, sha1 string, copies int")
+    folder = new_folder(spark, "warc-clash")
+    warc.with_revisits(df).write.format("warc").mode("append").save(folder)
+    read = spark.read.format("warc").load(folder)
+    assert [r.record_type for r in read.where("record_id = 'urn:x-page:2'").collect()] == ["response"]
+    assert [r.record_id for r in read.where("refers_to = 'urn:x-page:2'").collect()] == ["urn:x-page:1"]
