@@ -39,21 +39,28 @@ def carried(df: DataFrame, carry: bool) -> str:
     return f", row {df.schema['row'].dataType.simpleString()}" if carry else ""
 
 
+#: A word table is emptied between batches once it holds this many words, or this many bytes of them.
+#: A batch is bounded in bytes itself (or is one text), and so is what it can add.
+MOST_WORDS = 300_000
+MOST_WORD_BYTES = 16 << 20
+
+
 class WordIndex(dict):
     """Number of each distinct word; words seen first are listed in ``new``."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[bytes] = []
+        self.size = 0
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         self.new.append(word)
+        self.size += len(word)
         return number
 
-
-#: A word table is emptied between batches once it holds this many words.
-MOST_WORDS = 300_000
+    def full(self, most: int = MOST_WORDS) -> bool:
+        return len(self) > most or self.size > MOST_WORD_BYTES
 
 
 class Ragged:

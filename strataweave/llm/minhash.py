@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers, written
+from strataweave.llm.common import WordIndex, documents, held, text_bytes, with_text_batches, word_numbers, written
 from strataweave.llm.components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -104,7 +104,7 @@ class _Shingles:
         self.index, self.hashes = WordIndex(), np.zeros(0, np.uint64)
 
     def sets(self, texts: list[bytes], width: int) -> list[np.ndarray]:
-        if len(self.index) > MOST_WORDS:
+        if self.index.full():
             self._empty()
         found = [word_numbers(self.index, t.lower().split()) for t in texts]
         new, self.index.new = self.index.new, []

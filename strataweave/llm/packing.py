@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import MOST_WORDS, Ragged, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers, written
+from strataweave.llm.common import Ragged, WordIndex, documents, held, text_bytes, with_text_batches, word_numbers, written
 
 CAPACITY = 4096
 CLOSING_ID = 2
@@ -98,7 +98,7 @@ class _WordTokens:
         return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > MOST_WORDS:
+        if self.index.full():
             self._empty()
         numbers = [word_numbers(self.index, t.split()) for t in texts]
         new, self.index.new = self.index.new, []

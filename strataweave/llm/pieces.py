@@ -227,7 +227,7 @@ class Encoder:
             texts = [m.library.normalize(t.decode()).replace(SPACE, " ").encode() for t in texts]
         elif m.prefix:
             texts = [b" " + t if t else t for t in texts]
-        if len(self.index) > MOST_UNITS:
+        if self.index.full(MOST_UNITS):
             self._empty()
         found = [word_numbers(self.index, self.units.findall(t)) for t in texts]
         new, self.index.new = self.index.new, []

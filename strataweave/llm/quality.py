@@ -115,7 +115,7 @@ class _WordMeasures:
         self.hashes = np.zeros(0, np.uint64)
 
     def rows(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > MOST_WORDS:
+        if self.index.full(MOST_WORDS):
             self._empty()
         found = [word_numbers(self.index, t.split()) for t in texts]
         new, self.index.new = self.index.new, []
