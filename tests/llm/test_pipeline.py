@@ -25,7 +25,7 @@ def test_stages_keep_what_they_should(spark):
     told = written(stages["language_id"](spark, docs, SF), "t1")
     assert told.columns == docs.columns
     letters = {d for d, r in documents(docs).items() if any(map(str.isalpha, r.text or ""))}
-    assert set(documents(told)) <= letters and len(documents(told)) >= 0.99 * len(letters)
+    assert set(documents(told)) <= letters and len(documents(told)) >= 0.995 * len(letters)
 
     good = written(stages["quality_rules"](spark, told, SF), "t2")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
