@@ -2,9 +2,10 @@
 
 Entries are aligned by package and path; packages of a header and a table that
 several inputs hold and that differ are compared row by row and field by field,
-everything else is copied, deduplicated or chosen as a whole. A table that
-can't be parsed, or whose providers differ outside their rows, is chosen as a
-whole too.
+everything else is copied, deduplicated or chosen as a whole. Rows have numbers
+(MessagePack tables) or names (tables of tagged properties), by the header's
+class. A table that can't be parsed, or whose providers differ outside their
+rows, is chosen as a whole too.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from strataweave.plans import plan as plans
 from strataweave.plans.engine import MergeError
 from strataweave.plans.resolve import invalid, unresolved
 from strataweave.plans.rules import Profile, resolve_rules, rule_table
-from strataweave.sources import archive, msgpack_rows
+from strataweave.sources import archive, msgpack_rows, tagged_rows
 from strataweave.sources.folders import new_folder, written
 
-_TABLES = "group_key string, input_index int, shell string, error string, rows array<struct<row_pos:long,row_id:long,fields:array<struct<name:string,type:string,value:string,raw:binary>>>>"
+#: Rows of tables by name have the number 0, others the empty name; a named row's first field, without a name, is its label.
+_TABLES = "group_key string, input_index int, shell string, error string, rows array<struct<row_pos:long,row_id:long,row_name:string,fields:array<struct<name:string,type:string,value:string,raw:binary>>>>"
 
 
 @dataclass(frozen=True)
@@ -57,19 +59,29 @@ def read_archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out.withColumns({"group_key": path_key(stem), "component": F.coalesce(component(F.col("path")), F.lit("file"))})
 
 
+def _table(header: bytes | None, content: bytes) -> tuple[list[dict], str]:
+    """Rows and shell of a table of either form."""
+    if header is None or not tagged_rows.is_table_package(header):
+        return [{"row_pos": p, "row_id": i, "row_name": "", "fields": f} for p, i, _, f in msgpack_rows.table_rows(content)], msgpack_rows.shell_digest(content)
+    payload = tagged_rows.payload_of(header, content)
+    rows = []
+    for position, name, label, fields in tagged_rows.table_rows(header, payload):
+        rows.append({"row_pos": position, "row_id": 0, "row_name": name, "fields": [{"name": "", "type": "NameProperty", "value": name, "raw": label}, *fields]})
+    return rows, tagged_rows.shell_digest(header, payload)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for group, index, content in zip(*(batch.column(n).to_pylist() for n in ("group_key", "input_index", "content")), strict=True):
+        for group, index, header, content in zip(*(batch.column(n).to_pylist() for n in ("group_key", "input_index", "header", "content")), strict=True):
             row = {"group_key": group, "input_index": index, "shell": None, "error": None, "rows": []}
             try:
-                row["rows"] = [{"row_pos": p, "row_id": i, "fields": f} for p, i, _, f in msgpack_rows.table_rows(content)]
-                row["shell"] = msgpack_rows.shell_digest(content)
-            except (msgpack_rows.TableError, UnicodeDecodeError) as e:
+                row["rows"], row["shell"] = _table(header, content)
+            except (msgpack_rows.TableError, tagged_rows.TaggedError, UnicodeDecodeError) as e:
                 row["error"] = str(e)
             out.append(row)
         field = pa.struct([("name", pa.string()), ("type", pa.string()), ("value", pa.string()), ("raw", pa.binary())])
-        rows = pa.list_(pa.struct([("row_pos", pa.int64()), ("row_id", pa.int64()), ("fields", pa.list_(field))]))
+        rows = pa.list_(pa.struct([("row_pos", pa.int64()), ("row_id", pa.int64()), ("row_name", pa.string()), ("fields", pa.list_(field))]))
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("group_key", pa.string()), ("input_index", pa.int32()), ("shell", pa.string()), ("error", pa.string()), ("rows", rows)]))
 
 
@@ -92,21 +104,50 @@ def _present(groups: Column, fields: Column, count) -> Column:
     return F.filter(groups, lambda g: count(F.size(F.array_intersect(g["fields"], names)), F.size(g["fields"])))
 
 
+def _meaning(x: Column) -> Column:
+    """What a field stands for; tagged properties have one encoding alone, their portable bytes."""
+    text = F.concat_ws(":", F.when(x["type"].isin("integer", "float"), "number").otherwise(x["type"]), x["value"])
+    return F.when(x["type"].endswith("Property"), F.hex(x["raw"])).otherwise(text)
+
+
 def field_units(rows: DataFrame) -> DataFrame:
     """Units of rows of any shape: linked fields first, then one per field left but the key; with raw and canonical hashes."""
-    meaning = lambda x: F.concat_ws(":", F.when(x["type"].isin("integer", "float"), "number").otherwise(x["type"]), x["value"])
     whole = _present(F.col("groups"), F.col("fields"), lambda n, size: n == size)
     grouped = F.flatten(F.transform(whole, lambda g: g["fields"]))
     joined = lambda g, of: F.sha2(F.to_json(F.transform(g["fields"], lambda n: of(_named(F.col("fields"), n)))), 256)
-    linked = F.transform(whole, lambda g: F.struct(F.concat(F.lit("group:"), g["id"]).alias("unit_id"), F.lit(True).alias("atomic"), joined(g, lambda f: F.hex(f["raw"])).alias("raw_hash"), joined(g, meaning).alias("sem_hash")))
-    left = F.filter("fields", lambda x: (x["name"] != msgpack_rows.ID_KEY) & ~F.array_contains(grouped, x["name"]))
+    linked = F.transform(whole, lambda g: F.struct(F.concat(F.lit("group:"), g["id"]).alias("unit_id"), F.lit(True).alias("atomic"), joined(g, lambda f: F.hex(f["raw"])).alias("raw_hash"), joined(g, _meaning).alias("sem_hash")))
+    left = F.filter("fields", lambda x: ~x["name"].isin("", msgpack_rows.ID_KEY) & ~F.array_contains(grouped, x["name"]))
     single = F.transform(
-        left, lambda x: F.struct(F.concat(F.lit("field:"), x["name"]).alias("unit_id"), x["type"].isin("array", "map").alias("atomic"), F.sha2(x["raw"], 256).alias("raw_hash"), F.sha2(meaning(x), 256).alias("sem_hash"))
+        left, lambda x: F.struct(F.concat(F.lit("field:"), x["name"]).alias("unit_id"), x["type"].isin("array", "map").alias("atomic"), F.sha2(x["raw"], 256).alias("raw_hash"), F.sha2(_meaning(x), 256).alias("sem_hash"))
     )
     placed = rows.select("row", "input_index", F.posexplode(F.concat(linked, single)).alias("unit_pos", "u"))
     return placed.select("row", "input_index", "unit_pos", "u.*")
 
 
+def row_text(row: Column) -> Column:
+    """A row's name or number, as conflicts give it."""
+    return F.when(row["row_name"] != "", row["row_name"]).otherwise(row["row_id"].cast("string"))
+
+
+def with_hashes(rows: DataFrame) -> DataFrame:
+    """Rows (row, input_index, fields, groups) with their shape, raw_hash and sem_hash."""
+    shape = F.to_json(F.transform("fields", lambda x: x["name"]))
+    meaning = F.to_json(F.transform("fields", lambda x: F.struct(x["name"].alias("n"), _meaning(x).alias("v"))))
+    raw = F.to_json(F.transform("fields", lambda x: F.struct(x["name"], x["type"], x["raw"])))
+    return rows.withColumns({"shape": shape, "raw_hash": F.sha2(raw, 256), "sem_hash": F.sha2(meaning, 256)})
+
+
+def row_conflicts(hashed: DataFrame, units: DataFrame) -> DataFrame:
+    """row, unit_id, kind, n_variants: differing units, rows of different shapes, and added rows that differ.
+
+    An added row with a name that differs is a group of all its fields.
+    """
+    found = diff.conflicts(diff.unit_differences(units, "row"), diff.shape_mismatches(hashed, "row", "shape"), diff.added_rows(hashed, "row"), "row")
+    named = (F.col("row.row_name") != "") & (F.col("unit_id") == diff.ADDED_ROW)
+    kind = F.when(named, diff.ATOMIC_GROUP).otherwise(F.col("kind"))
+    return found.select("row", F.when(named, diff.WHOLE_ROW).otherwise(F.col("unit_id")).alias("unit_id"), kind.alias("kind"), "n_variants")
+
+
 def analyze_archives(spark: SparkSession, paths: Sequence[str], profiles: Sequence[Profile] = ()) -> ArchivePlan:
     """A plan for inputs in order; the first is the base.
 
@@ -122,7 +163,9 @@ def analyze_archives(spark: SparkSession, paths: Sequence[str], profiles: Sequen
     groups = plans.packages(entries)
     actions = plans.asset_actions(groups)
     tables = entries.where("component = '.uexp'").join(actions.where(F.col("action") == plans.MERGE), "group_key")
-    parsed = written(tables.select("group_key", "input_index", "content").mapInArrow(_parsed, _TABLES), "parsed")
+    headers = entries.where("component = '.uasset'").select("group_key", "input_index", F.col("content").alias("header"))
+    tables = tables.join(headers, ["group_key", "input_index"], "left")
+    parsed = written(tables.select("group_key", "input_index", "header", "content").mapInArrow(_parsed, _TABLES), "parsed")
     whole = parsed.groupBy("group_key").agg(F.max("error").alias("error"), diff.differs("shell").alias("shells"))
     asset = parsed.select(F.concat("group_key", F.lit(".uexp")).alias("path")).distinct()
     rules = resolve_rules(asset, rule_table(spark, profiles)).join(F.broadcast(group_table(spark, profiles)), "rule")
@@ -137,21 +180,17 @@ def analyze_archives(spark: SparkSession, paths: Sequence[str], profiles: Sequen
     exploded = parsed.join(failed, "group_key", "left_anti").select("group_key", "input_index", "groups", F.inline("rows"))
     base = parsed.groupBy("group_key").agg(F.min("input_index").alias("base"))
     # the base of an asset is its first provider; rows count inputs from there
-    rows = exploded.join(base, "group_key").withColumn("row", F.struct("group_key", "row_id"))
-    shape = F.to_json(F.transform("fields", lambda x: x["name"]))
-    rows = written(rows.select("row", "group_key", "row_id", "row_pos", "fields", "groups", (F.col("input_index") - F.col("base")).alias("input_index"), F.col("input_index").alias("input"), shape.alias("shape")), "rows")
+    rows = exploded.join(base, "group_key").withColumn("row", F.struct("group_key", "row_id", "row_name"))
+    placed = rows.withColumns({"input": F.col("input_index"), "input_index": F.col("input_index") - F.col("base")})
+    rows = written(placed.select("row", "group_key", "row_id", "row_name", "row_pos", "fields", "groups", "input_index", "input"), "rows")
 
     units = field_units(rows)
-    differences = diff.unit_differences(units, "row")
-    mismatches = diff.shape_mismatches(rows, "row", "shape")
-    row_hash = F.sha2(F.to_json("fields"), 256)
-    meaning = F.sha2(F.to_json(F.transform("fields", lambda x: F.struct(x["name"].alias("n"), F.when(x["type"].isin("integer", "float"), "number").otherwise(x["type"]).alias("t"), x["value"].alias("v")))), 256)
-    hashed = rows.withColumns({"raw_hash": row_hash, "sem_hash": meaning})
-    found = written(diff.conflicts(differences, mismatches, diff.added_rows(hashed, "row"), "row"), "found")
+    hashed = with_hashes(rows)
+    found = written(row_conflicts(hashed, units), "found")
     of_units = units.join(found, ["row", "unit_id"]).select("row", "unit_id", "kind", "input_index", "raw_hash")
     of_rows = hashed.join(found.where(F.col("unit_id").isin(diff.WHOLE_ROW, diff.ADDED_ROW)), "row").select("row", "unit_id", "kind", "input_index", "raw_hash")
     inputs = rows.select("row", "input_index", "input")
-    of_rows = of_units.union(of_rows).join(inputs, ["row", "input_index"]).select(F.col("row.group_key"), F.col("row.row_id").cast("string").alias("row"), "unit_id", "kind", "input", "raw_hash")
+    of_rows = of_units.union(of_rows).join(inputs, ["row", "input_index"]).select(F.col("row.group_key"), row_text(F.col("row")).alias("row"), "unit_id", "kind", "input", "raw_hash")
     opaque = groups.join(actions.where(F.col("action") == plans.SELECT_OPAQUE), "group_key")
     kind = F.when(F.coalesce("structure", F.lit(False)), diff.STRUCTURE_MISMATCH).otherwise(diff.OPAQUE_PACKAGE)
     of_files = opaque.select("group_key", F.lit("").alias("row"), F.lit("").alias("unit_id"), kind.alias("kind"), F.col("input_index").alias("input"), F.col("digest").alias("raw_hash"))
@@ -170,17 +209,21 @@ def analyze_archives(spark: SparkSession, paths: Sequence[str], profiles: Sequen
 
 
 def _tables_of(made: ArchivePlan, chosen: DataFrame) -> DataFrame:
-    """group_key and content of every merged table: base rows in base order, then added rows by id."""
+    """group_key, content and header of every merged table: base rows in base order, then added rows by id, or named ones as first held.
+
+    The header is null where it stays as it is.
+    """
     rows = made.rows
-    held = rows.groupBy("group_key", "row_id").agg(
+    held = rows.groupBy("group_key", "row_id", "row_name").agg(
         F.map_from_entries(F.collect_list(F.struct("input", "fields"))).alias("held"),
         F.min("input").alias("first"),
         F.first("groups").alias("groups"),
         F.min("input_index").alias("index"),
         F.min(F.when(F.col("input_index") == 0, F.col("row_pos"))).alias("base_pos"),
-    )
-    picks = chosen.where("row <> ''").groupBy("group_key", F.col("row").cast("long").alias("row_id")).agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "input"))).alias("picks"))
-    joined = held.join(picks, ["group_key", "row_id"], "left").withColumn("picks", F.coalesce("picks", F.create_map().cast("map<string,int>")))
+        F.min(F.struct("input", "row_pos")).alias("at"),
+    ).withColumn("row", row_text(F.struct("row_id", "row_name")))
+    picks = chosen.where("row <> ''").groupBy("group_key", "row").agg(F.map_from_entries(F.collect_list(F.struct("unit_id", "input"))).alias("picks"))
+    joined = held.join(picks, ["group_key", "row"], "left").withColumn("picks", F.coalesce("picks", F.create_map().cast("map<string,int>")))
     whole = F.coalesce(F.try_element_at("picks", F.lit(diff.WHOLE_ROW)), F.try_element_at("picks", F.lit(diff.ADDED_ROW)), F.col("first"))
 
     def taken(f):
@@ -189,19 +232,26 @@ def _tables_of(made: ArchivePlan, chosen: DataFrame) -> DataFrame:
         return F.coalesce(_named(F.try_element_at("held", F.try_element_at("picks", unit)), f["name"]), f)
 
     fields = F.transform(F.try_element_at("held", whole), taken)
-    placed = joined.select("group_key", (F.col("index") > 0).alias("is_added"), F.coalesce("base_pos", "row_id").alias("place"), fields.alias("fields"))
-    like = made.entries.where("component = '.uexp'").join(made.actions.where(F.col("action") == plans.MERGE), "group_key")
-    like = like.groupBy("group_key").agg(F.min_by("content", "input_index").alias("like"))
+    placed = joined.select("group_key", (F.col("index") > 0).alias("is_added"), F.coalesce("base_pos", "row_id").alias("place"), "at.input", "at.row_pos", fields.alias("fields"))
+    like = made.entries.where(F.col("component").isin(".uexp", ".uasset")).join(made.actions.where(F.col("action") == plans.MERGE), "group_key")
+    first = lambda kind: F.min_by(F.when(F.col("component") == kind, F.col("content")), F.when(F.col("component") == kind, F.col("input_index")))
+    like = like.groupBy("group_key").agg(first(".uexp").alias("like"), first(".uasset").alias("header"))
 
     def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("group_key", pa.string()), ("content", pa.binary()), ("header", pa.binary())])
         if not right.num_rows:
-            return pa.table({"group_key": pa.array([], pa.string()), "content": pa.array([], pa.binary())})
-        ordered = left.sort_by([("is_added", "ascending"), ("place", "ascending")])
-        raw = [msgpack_rows.rebuild_row(f) for f in ordered.column("fields").to_pylist()]
-        content = msgpack_rows.build_table(raw, right.column("like")[0].as_py())
-        return pa.table({"group_key": right.column("group_key"), "content": pa.array([content], pa.binary())})
+            return schema.empty_table()
+        ordered = left.sort_by([(c, "ascending") for c in ("is_added", "place", "input", "row_pos")])
+        like, header = right.column("like")[0].as_py(), right.column("header")[0].as_py()
+        rows = ordered.column("fields").to_pylist()
+        if header is not None and tagged_rows.is_table_package(header):
+            header, payload = tagged_rows.build_table(header, tagged_rows.payload_of(header, like), [[f["raw"] for f in fields] for fields in rows])
+            content = payload + like[-4:]
+        else:
+            header, content = None, msgpack_rows.build_table([msgpack_rows.rebuild_row(f) for f in rows], like)
+        return pa.Table.from_pylist([{"group_key": right.column("group_key")[0].as_py(), "content": content, "header": header}], schema=schema)
 
-    return placed.groupBy("group_key").cogroup(like.groupBy("group_key")).applyInArrow(build, "group_key string, content binary")
+    return placed.groupBy("group_key").cogroup(like.groupBy("group_key")).applyInArrow(build, "group_key string, content binary, header binary")
 
 
 def merge_archives(made: ArchivePlan, choices: DataFrame, folder: str, name: str = "merged_P.pak", *, plan_id: str = "") -> DataFrame:
@@ -224,10 +274,12 @@ def merge_archives(made: ArchivePlan, choices: DataFrame, folder: str, name: str
     source = made.actions.select("group_key", "action").join(first, "group_key").join(files, "group_key", "left")
     source = source.select("group_key", "action", F.coalesce("wanted", "first").alias("input_index"))
     taken = made.entries.join(source, ["group_key", "input_index"])
-    merged = _tables_of(made, chosen).withColumnRenamed("content", "merged")
+    merged = _tables_of(made, chosen).withColumnsRenamed({"content": "merged", "header": "merged_header"})
     out = taken.join(merged, "group_key", "left")
     table = (F.col("action") == plans.MERGE) & (F.col("component") == ".uexp")
-    out = written(out.select("path", F.when(table, F.col("merged")).otherwise(F.col("content")).alias("content")), "output")
+    header = (F.col("action") == plans.MERGE) & (F.col("component") == ".uasset")
+    content = F.when(table, F.col("merged")).when(header, F.coalesce("merged_header", "content")).otherwise(F.col("content"))
+    out = written(out.select("path", content.alias("content")), "output")
     mount = made.entries.where("input_index = 0").select("mount").first()
     sink = out.orderBy(F.lower("path")).coalesce(1).write.format("overlay_archive").mode("append").option("name", name)
     sink.option("mount", mount.mount if mount else "../../../").save(folder)

@@ -5,18 +5,27 @@ structure, a zero, the number of rows, and each row as its name and a block of
 tagged properties. Values are decoded to canonical text as they are walked,
 names and imports resolved, so that rows compare by meaning whatever the order
 of a package's tables.
+
+A field's ``raw`` is its portable form: the places of name and import indexes
+with what they name, then its bytes with zeros there. It is equal exactly if
+the fields mean the same, and ``build_table`` puts it into any package that has
+the imports, adding names as needed.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Fixed values of the format.
-LEGACY_VERSION, EDITOR_ONLY_FILTERED = -7, 0x80000000
+TAG, LEGACY_VERSION, EDITOR_ONLY_FILTERED = 0x9E2A83C1, -7, 0x80000000
+NAME_CRC = 0x04C11DB7  # polynomial of the older of a name's two hashes
 IMPORT_BYTES, EXPORT_BYTES = 28, 104
 SIZE_AT, OFFSET_AT = 28, 36  # of the one export's payload, in its record
 MOST_ROWS, MOST_DEPTH = 4_000_000, 32
@@ -31,8 +40,8 @@ PLAIN_STRUCTS = {
 }
 PATH_STRUCTS = ("SoftObjectPath", "SoftClassPath", "StringAssetReference", "StringClassReference")
 
-ROWS = "asset string, row_pos long, row_name string, fields array<struct<name:string,type:string,value:string,refs:array<string>>>"
-_FIELD = pa.struct([("name", pa.string()), ("type", pa.string()), ("value", pa.string()), ("refs", pa.list_(pa.string()))])
+ROWS = "asset string, row_pos long, row_name string, fields array<struct<name:string,type:string,value:string,refs:array<string>,raw:binary>>"
+_FIELD = pa.struct([("name", pa.string()), ("type", pa.string()), ("value", pa.string()), ("refs", pa.list_(pa.string())), ("raw", pa.binary())])
 _ARROW = pa.schema([("asset", pa.string()), ("row_pos", pa.int64()), ("row_name", pa.string()), ("fields", pa.list_(_FIELD))])
 
 
@@ -40,12 +49,17 @@ class TaggedError(ValueError):
     """Bytes that aren't such a table, or use what isn't read."""
 
 
+_NAME, _IMPORT = 0, 1
+_SITE = struct.Struct("<IBI")
+
+
 class _Walk:
     """A position in bytes, with what every value is made of."""
 
     def __init__(self, data: bytes, at: int = 0, names: list[str] | None = None) -> None:
         self.data, self.at, self.names = data, at, names or []
         self.refs: list[str] = []
+        self.sites: list[tuple[int, int, str]] = []  # place, _NAME or _IMPORT, what it names
 
     def bytes(self, n: int) -> bytes:
         if n < 0 or self.at + n > len(self.data):
@@ -64,28 +78,49 @@ class _Walk:
         index, instance = self.number("i"), self.number("i")
         if not 0 <= index < len(self.names):
             raise TaggedError(f"there is no name {index}")
+        self.sites.append((self.at - 8, _NAME, self.names[index]))
         return self.names[index] + (f"_{instance - 1}" if instance else "")
 
     def reference(self) -> str:
         self.refs.append(self.name())
         return self.refs[-1]
 
+    def target(self, p: Package) -> str:
+        index = self.number("i")
+        if index < 0:
+            self.sites.append((self.at - 4, _IMPORT, p.target(index)))
+        return p.target(index)
+
+    def portable(self, begin: int, first_site: int) -> bytes:
+        """What was read since ``begin``, whatever the order of the package's names and imports."""
+        data, places = bytearray(self.data[begin : self.at]), []
+        for at, kind, what in self.sites[first_site:]:
+            data[at - begin : at - begin + 4] = bytes(4)
+            places.append(_SITE.pack(at - begin, kind, len(what.encode())) + what.encode())
+        return struct.pack("<I", len(places)) + b"".join(places) + data
+
 
 class Package:
-    """Names, imports and the payload's size of a header with one export."""
+    """Names, imports, the payload's size and the offsets of a header with one export."""
 
     def __init__(self, data: bytes) -> None:
-        w = _Walk(data, 4)
-        if w.number("i") != LEGACY_VERSION or w.bytes(16) != b"\0" * 16:
+        w = _Walk(data)
+        if w.number("I") != TAG or w.number("i") != LEGACY_VERSION or w.bytes(16) != b"\0" * 16:
             raise TaggedError("not an unversioned package")
         if w.number("I") != len(data):
             raise TaggedError("the header's size is wrong")
-        w.text()
-        flags, n_names, names_at = w.number("I"), w.number("i"), w.number("i")
+        self.folder = w.text()
+        flags, self.n_names_at, n_names, names_at = w.number("I"), w.at, w.number("i"), w.number("i")
         if not flags & EDITOR_ONLY_FILTERED:
             w.text()
-        w.bytes(8)
-        n_exports, exports_at, n_imports, imports_at = (w.number("i") for _ in range(4))
+        w.bytes(4)
+        self.offsets = [w.at]  # of the fields that hold places after the names
+        w.bytes(4)
+        n_exports = w.number("i")
+        self.offsets.append(w.at)
+        exports_at, n_imports = w.number("i"), w.number("i")
+        self.offsets.append(w.at)
+        imports_at, self.rest_at = w.number("i"), w.at
         if n_exports != 1 or not 0 <= exports_at <= len(data) - EXPORT_BYTES:
             raise TaggedError("a package needs one export")
         w.at = names_at
@@ -93,12 +128,13 @@ class Package:
         for _ in range(n_names):
             self.names.append(w.text())
             w.bytes(4)  # hashes
+        self.names_end, self.exports_at = w.at, exports_at
         w = _Walk(data, imports_at, self.names)
-        self.imports = []
+        found = []
         for _ in range(n_imports):
-            package, kind = w.name(), w.name()
-            w.bytes(4)
-            self.imports.append((package, kind, w.name()))
+            package, kind, outer, name = w.name(), w.name(), w.number("i"), w.name()
+            found.append((outer, f"{package}/{kind}/{name}"))
+        self.imports = [_within(found, n) for n in range(n_imports)]
         w.at = exports_at
         self.export_class = self.target(w.number("i"))
         w.at = exports_at + 16
@@ -111,9 +147,90 @@ class Package:
         if index < 0:
             if -index > len(self.imports):
                 raise TaggedError(f"there is no import {index}")
-            return "/".join(self.imports[-index - 1])
+            return self.imports[-index - 1]
         return "export" if index else "none"
 
+    def extended(self, data: bytes, names: Sequence[str], payload_size: int) -> bytes:
+        """The header with further names, all places after them moved, for a payload of another size."""
+        w = _Walk(data, self.rest_at)
+        offsets = [*self.offsets, w.at]
+        w.bytes(8)
+        offsets += [w.at, w.at + 4, w.at + 8]
+        w.bytes(12 + 16)
+        w.bytes(8 * w.number("i"))  # generations
+        for _ in range(2):  # engine versions
+            w.bytes(10)
+            w.text()
+        if w.number("I") or w.number("i"):
+            raise TaggedError("compressed packages aren't written")
+        w.bytes(4)
+        if w.number("i"):
+            raise TaggedError("packages to cook aren't written")
+        bulk_at = w.at + 4
+        offsets += [w.at, bulk_at + 8]
+        w.at = bulk_at + 12
+        w.bytes(4 * w.number("i"))
+        w.bytes(4)
+        offsets.append(w.at)
+        w.bytes(4)
+        if w.at > self.names_end or self.exports_at < self.names_end:
+            raise TaggedError("the names aren't between summary and tables")
+        added = b"".join(_name_entry(n) for n in names)
+        out = bytearray(data[: self.names_end] + added + data[self.names_end :])
+        for at in offsets:
+            value = struct.unpack_from("<i", out, at)[0]
+            if value >= self.names_end:
+                struct.pack_into("<i", out, at, value + len(added))
+        struct.pack_into("<I", out, _TOTAL_AT, len(out))
+        struct.pack_into("<i", out, self.n_names_at, len(self.names) + len(names))
+        struct.pack_into("<qq", out, self.exports_at + len(added) + SIZE_AT, payload_size, len(out))
+        struct.pack_into("<q", out, bulk_at, len(out) + payload_size)
+        return bytes(out)
+
+
+_TOTAL_AT = 24  # of the header's size
+
+
+def _within(imports: list[tuple[int, str]], n: int) -> str:
+    """An import's identity: its class and name, and those of what it lies in."""
+    parts: list[str] = []
+    while len(parts) <= len(imports):
+        outer, own = imports[n]
+        parts.append(own)
+        if outer >= 0:
+            return " in ".join(parts)
+        if -outer > len(imports):
+            break
+        n = -outer - 1
+    raise TaggedError("an import lies in none or in itself")
+
+
+@cache
+def _crc_table() -> list[int]:
+    table = []
+    for n in range(256):
+        value = n << 24
+        for _ in range(8):
+            value = (value << 1 ^ (NAME_CRC if value >> 31 else 0)) & 0xFFFFFFFF
+        table.append(value)
+    return table
+
+
+def _string(text: str) -> bytes:
+    if text.isascii():
+        return struct.pack("<i", len(text) + 1) + text.encode() + b"\0"
+    wide = text.encode("utf-16-le") + b"\0\0"
+    return struct.pack("<i", -len(wide) // 2) + wide
+
+
+def _name_entry(text: str) -> bytes:
+    """A name and its two hashes: an old checksum of the upper case, and CRC-32 of the code points."""
+    table, older = _crc_table(), 0
+    upper = text.upper()
+    for byte in upper.encode() if text.isascii() else upper.encode("utf-16-le"):
+        older = older >> 8 ^ table[(older ^ byte) & 255]
+    return _string(text) + struct.pack("<HH", older & 0xFFFF, zlib.crc32(text.encode("utf-32-le")) & 0xFFFF)
+
 
 def _text(w: _Walk) -> str:
     w.bytes(4)
@@ -140,7 +257,7 @@ _VALUES: dict[str, Callable[[_Walk, Package], str]] = {
     "StrProperty": lambda w, p: w.text(),
     "TextProperty": lambda w, p: _text(w),
     **dict.fromkeys(("SoftObjectProperty", "SoftClassProperty", "AssetObjectProperty"), lambda w, p: f"{w.reference()}:{w.text()}"),
-    **dict.fromkeys(("ObjectProperty", "ClassProperty", "InterfaceProperty", "LazyObjectProperty"), lambda w, p: p.target(w.number("i"))),
+    **dict.fromkeys(("ObjectProperty", "ClassProperty", "InterfaceProperty", "LazyObjectProperty"), lambda w, p: w.target(p)),
 }
 
 
@@ -184,7 +301,10 @@ def _block(w: _Walk, p: Package, depth: int = 0) -> list[dict]:
     if depth > MOST_DEPTH:
         raise TaggedError("nested too deeply")
     fields: list[dict] = []
-    while (name := w.name()) != "None":
+    while True:
+        begin, first_site = w.at, len(w.sites)
+        if (name := w.name()) == "None":
+            return fields
         kind, size = w.name(), w.number("i")
         w.bytes(4)
         inner: tuple = ()
@@ -203,9 +323,8 @@ def _block(w: _Walk, p: Package, depth: int = 0) -> list[dict]:
         value = _tagged(w, p, kind, inner, size, depth)
         if w.at - start != size:
             raise TaggedError(f"{name} is {w.at - start} bytes long, not {size}")
-        fields.append({"name": name, "type": kind, "value": value, "refs": w.refs})
+        fields.append({"name": name, "type": kind, "value": value, "refs": w.refs, "raw": b"" if depth else w.portable(begin, first_site)})
         w.refs = outer + w.refs
-    return fields
 
 
 def _tagged(w: _Walk, p: Package, kind: str, inner: tuple, size: int, depth: int) -> str:
@@ -229,27 +348,153 @@ def _tagged(w: _Walk, p: Package, kind: str, inner: tuple, size: int, depth: int
     return _VALUES[kind](w, p)
 
 
-def table_rows(header: bytes, payload: bytes) -> Iterator[tuple[int, str, list[dict]]]:
-    """Position, name and fields of each row; names and a row's fields may not repeat."""
+def _object(header: bytes, payload: bytes) -> tuple[Package, _Walk]:
+    """The package, and a walk that stands at the number of rows."""
     p = Package(header)
     w = _Walk(payload, 0, p.names)
     if [f["name"] for f in _block(w, p)] != ["RowStruct"] or w.number("i"):
         raise TaggedError("not a table object")
+    return p, w
+
+
+def table_rows(header: bytes, payload: bytes) -> Iterator[tuple[int, str, bytes, list[dict]]]:
+    """Position, name, portable name and fields of each row; names and a row's fields may not repeat."""
+    p, w = _object(header, payload)
     count, seen = w.number("i"), set()
     if not 0 <= count <= MOST_ROWS:
         raise TaggedError("the number of rows is wrong")
     for position in range(count):
+        w.refs, w.sites = [], []
         name = w.name()
-        w.refs = []
+        label = w.portable(w.at - 8, 0)
         fields = _block(w, p)
-        if name in seen or len({f["name"] for f in fields}) < len(fields):
-            raise TaggedError(f"the row {name} or one of its fields repeats")
+        if not name or name in seen or len({f["name"] for f in fields}) < len(fields):
+            raise TaggedError(f"the row {name} or one of its fields has no name or repeats")
         seen.add(name)
-        yield position, name, fields
+        yield position, name, label, fields
     if w.at != len(payload):
         raise TaggedError("bytes after the last row")
 
 
+def is_table_package(header: bytes) -> bool:
+    """Whether a header is of a table by names, as its export's class says."""
+    try:
+        return Package(header).export_class.split(" in ")[0].endswith("/DataTable")
+    except (TaggedError, UnicodeDecodeError):
+        return False
+
+
+def shell_digest(header: bytes, payload: bytes) -> str:
+    """SHA-256 over what tables must share to be merged by rows: folder, class, name and the table object."""
+    p, w = _object(header, payload)
+    parts = [p.folder.encode(), p.export_class.encode(), p.export_name.encode(), w.portable(0, 0)]
+    return sha256(b"".join(struct.pack("<I", len(x)) + x for x in parts)).hexdigest()
+
+
+def payload_of(header: bytes, content: bytes) -> bytes:
+    """The payload in a file of it and the closing tag."""
+    size = Package(header).payload_size
+    if content[size:] != struct.pack("<I", TAG) or size < 0:
+        raise TaggedError("the payload's size or the closing tag is wrong")
+    return content[:size]
+
+
+def _placed(raw: bytes, names: dict[str, int], imports: dict[str, int]) -> bytes:
+    """Portable bytes with the indexes of a package; new names are added to it."""
+    count, at = struct.unpack_from("<I", raw)[0], 4
+    sites = []
+    for _ in range(count):
+        place, kind, size = _SITE.unpack_from(raw, at)
+        at += _SITE.size + size
+        what = raw[at - size : at].decode()
+        if kind == _IMPORT and what not in imports:
+            raise TaggedError(f"the package doesn't import {what}")
+        sites.append((place, -1 - imports[what] if kind == _IMPORT else names.setdefault(what, len(names))))
+    out = bytearray(raw[at:])
+    for place, index in sites:
+        struct.pack_into("<i", out, place, index)
+    return bytes(out)
+
+
+def build_table(header: bytes, payload: bytes, rows: Iterator[Sequence[bytes]] | Sequence[Sequence[bytes]]) -> tuple[bytes, bytes]:
+    """Header and payload of a table like the given one with these rows: portable name, portable fields.
+
+    Names that the package lacks are added to it; an import that it lacks raises TaggedError.
+    """
+    p, w = _object(header, payload)
+    names: dict[str, int] = {}
+    for n, text in enumerate(p.names):
+        names.setdefault(text, n)
+    if len(names) < len(p.names):
+        raise TaggedError("the package's names repeat")
+    imports = {what: n for n, what in reversed(list(enumerate(p.imports)))}
+    known, body, count = len(names), [], 0
+    for label, *fields in rows:
+        count += 1
+        body += [_placed(part, names, imports) for part in (label, *fields)]
+        body.append(struct.pack("<ii", names.setdefault("None", len(names)), 0))
+    built = payload[: w.at] + struct.pack("<i", count) + b"".join(body)
+    return p.extended(header, list(names)[known:], len(built)), built
+
+
+#: How values of plain kinds are written.
+_WRITTEN: dict[str, Callable[[str], bytes]] = {
+    **{kind: (lambda value, form=form: struct.pack("<" + form, float(value) if form in "fd" else int(value))) for kind, form in NUMBERS.items()},
+    "StrProperty": _string,
+}
+
+
+def portable_name(text: str) -> bytes:
+    """A name's portable form."""
+    return struct.pack("<I", 1) + _SITE.pack(0, _NAME, len(text.encode())) + text.encode() + bytes(8)
+
+
+def portable_field(name: str, kind: str, value: str) -> bytes:
+    """The portable form of a number, string or name property."""
+    data, sites = bytes(8), [(0, name), (8, kind)]
+    if kind != "NameProperty":
+        if kind not in _WRITTEN:
+            raise TaggedError(f"{kind} isn't written")
+        data = _WRITTEN[kind](value)
+    else:
+        sites.append((25, value))
+    places = b"".join(_SITE.pack(at, _NAME, len(x.encode())) + x.encode() for at, x in sites)
+    return struct.pack("<I", len(sites)) + places + bytes(16) + struct.pack("<ii", len(data), 0) + b"\0" + data
+
+
+def empty_table(name: str, row_struct: str) -> tuple[bytes, bytes]:
+    """A package of a table without rows, whose rows have the given structure."""
+    names = ["None", "RowStruct", "ObjectProperty", "/Script/CoreUObject", "/Script/Engine", "Class", "ScriptStruct", "DataTable", row_struct, name]
+    names = list(dict.fromkeys(names))
+    index = lambda *texts: b"".join(struct.pack("<ii", names.index(x), 0) for x in texts)
+    imports = index("/Script/CoreUObject", "Class") + struct.pack("<i", 0) + index("DataTable") + index("/Script/CoreUObject", "ScriptStruct") + struct.pack("<i", 0) + index(row_struct)
+    payload = index("RowStruct", "ObjectProperty") + struct.pack("<ii", 4, 0) + b"\0" + struct.pack("<i", -2) + index("None") + struct.pack("<ii", 0, 0)
+    export = (struct.pack("<iiii", -1, 0, 0, 0) + index(name)).ljust(EXPORT_BYTES, b"\0")
+    entries = b"".join(_name_entry(n) for n in names)
+    front = struct.pack("<Ii", TAG, LEGACY_VERSION) + bytes(20) + _string("None") + struct.pack("<I", EDITOR_ONLY_FILTERED)
+    rest = 112  # all zero: no thumbnails, generations, chunks or preloads
+    names_at = len(front) + 8 + 8 + 16 + rest
+    tables_at = names_at + len(entries)
+    places = struct.pack("<iiiiiiii", len(names), names_at, 0, 0, 1, tables_at + len(imports), len(imports) // IMPORT_BYTES, tables_at)
+    # summaries end in engine versions whose branch is an empty string, a zero length
+    header = bytearray(front + places + bytes(rest) + entries + imports + export)
+    struct.pack_into("<I", header, _TOTAL_AT, len(header))
+    return Package(bytes(header)).extended(bytes(header), [], len(payload)), payload
+
+
+def write_tables(rows: DataFrame) -> DataFrame:
+    """asset, header, payload of the tables with these rows (asset, row_pos, row_name, fields of name, type and value), in order of row_pos."""
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        ordered = table.select(["row_pos", "row_name", "fields"]).sort_by("row_pos").to_pylist()
+        made = ((portable_name(r["row_name"]), *(portable_field(f["name"], f["type"], f["value"]) for f in r["fields"])) for r in ordered)
+        asset = key[0].as_py()
+        header, payload = build_table(*empty_table(asset, "RowStructure"), made)
+        return pa.table({"asset": [asset], "header": pa.array([header], pa.binary()), "payload": pa.array([payload], pa.binary())})
+
+    return rows.groupBy("asset").applyInArrow(build, "asset string, header binary, payload binary")
+
+
 def read_tables(files: DataFrame) -> DataFrame:
     """Rows (ROWS) of table packages (asset, header, payload); a package is read by one task, a row at a time."""
 
@@ -257,7 +502,7 @@ def read_tables(files: DataFrame) -> DataFrame:
         for batch in batches:
             for asset, header, payload in zip(*(batch.column(n).to_pylist() for n in ("asset", "header", "payload")), strict=True):
                 held = []
-                for position, name, fields in table_rows(header, payload):
+                for position, name, _, fields in table_rows(header, payload):
                     held.append({"asset": asset, "row_pos": position, "row_name": name, "fields": fields})
                     if len(held) >= 1000:
                         yield pa.RecordBatch.from_pylist(held, schema=_ARROW)

@@ -3,6 +3,7 @@ import pytest
 from strataweave.plans import archives, rules
 from strataweave.plans.engine import MergeError
 from strataweave.sources import msgpack_rows as m
+from strataweave.sources import tagged_rows as t
 
 
 def table(*rows, like=None):
@@ -86,3 +87,66 @@ def test_equal_inputs_are_refused(spark):
 def test_leaves_and_shells():
     assert m.integer_leaves(m.pack_value({"a": [1, -2, {"5": 3}], "b": 0, "c": 2.0})) == [1, 3]
     assert m.shell_digest(table({"m_id": 1})) == m.shell_digest(table({"m_id": 2}, {"m_id": 3}))
+
+
+def named(rows, first=()):
+    """A package of rows {name: {field: (kind, value)}}; ``first``: names that its name table starts with."""
+    header, payload = t.empty_table("Items", "Item")
+    header = t.Package(header).extended(header, first, len(payload))
+    made = [(t.portable_name(n), *(t.portable_field(f, *v) for f, v in fields.items())) for n, fields in rows.items()]
+    header, payload = t.build_table(header, payload, made)
+    return {"Game/Items.uasset": header, "Game/Items.uexp": payload + t.TAG.to_bytes(4, "little")}
+
+
+def number(x):
+    return "IntProperty", str(x)
+
+
+def word(x):
+    return "NameProperty", x
+
+
+NAMED = [
+    {"Sword": {"Cost": number(5), "Kind": word("Blade")}, "Shield": {"Cost": number(7)}, "Bow": {"Cost": number(1), "Kind": word("Wood")}},
+    {"Sword": {"Cost": number(6), "Kind": word("Blade")}, "Shield": {"Cost": number(7), "Kind": word("Round")}, "Zither": {"Cost": number(2)}, "Axe": {"Cost": number(3)}},
+    {"Sword": {"Cost": number(5), "Kind": word("Fresh")}, "Bow": {"Cost": number(1), "Kind": word("Wood")}, "sword": {"Cost": number(9)}, "Axe": {"Cost": number(4)}},
+]
+
+
+def read_named(files):
+    header, content = files["Game/Items.uasset"], files["Game/Items.uexp"]
+    return {n: {f["name"]: f["value"] for f in fields} for _, n, _, fields in t.table_rows(header, t.payload_of(header, content))}
+
+
+def test_tables_by_name_are_merged_by_row_and_field(spark, tmp_path):
+    files = [named(rows, first) for rows, first in zip(NAMED, ((), ("Wood", "unused"), ("Axe",)), strict=True)]
+    made = archives.analyze_archives(spark, archives.demo_archives(spark, files))
+    assert {(r.row, r.unit_id): r.kind for r in made.conflicts.collect()} == {
+        ("Sword", "field:Cost"): "FIELD_VALUE", ("Sword", "field:Kind"): "FIELD_VALUE", ("Shield", "__whole_row__"): "STRUCTURE_MISMATCH", ("Axe", "__whole_row__"): "ATOMIC_GROUP",
+    }
+    wanted = {("Sword", "field:Cost"): 1, ("Sword", "field:Kind"): 2, ("Shield", "__whole_row__"): 1, ("Axe", "__whole_row__"): 2}
+    picks = spark.createDataFrame([(*k, v) for k, v in wanted.items()], "row string, unit_id string, input int")
+    choices = made.variants.join(picks, ["row", "unit_id", "input"]).select("conflict_id", "variant_id")
+    back = archives.merge_archives(made, choices, f"file://{tmp_path}/named", plan_id=made.plan_id)
+    out = {r.path: bytes(r.content) for r in back.collect()}
+    found = read_named(out)
+    assert found == {
+        "Sword": {"Cost": "6", "Kind": "Fresh"}, "Shield": {"Cost": "7", "Kind": "Round"}, "Bow": {"Cost": "1", "Kind": "Wood"},
+        "Zither": {"Cost": "2"}, "Axe": {"Cost": "4"}, "sword": {"Cost": "9"},
+    }
+    assert list(found) == ["Sword", "Shield", "Bow", "Zither", "Axe", "sword"]  # base order, then as first held
+    assert {"Fresh", "Round", "Zither", "Axe", "sword"} <= set(t.Package(out["Game/Items.uasset"]).names)
+
+
+def test_an_order_of_names_is_no_difference(spark):
+    files = [named(NAMED[0]), named(NAMED[0], ("Wood", "Cost"))]
+    made = archives.analyze_archives(spark, archives.demo_archives(spark, files))
+    assert made.conflicts.count() == 0
+
+
+def test_linked_fields_in_part_choose_the_named_table_whole(spark):
+    files = [named(NAMED[0]), named(NAMED[1])]
+    group = rules.FieldGroup("both", ("Cost", "Kind"))
+    asset = rules.AssetRule("items", (rules.Matcher("suffix", "/items"),), 0, (group,))
+    made = archives.analyze_archives(spark, archives.demo_archives(spark, files), [rules.Profile("p", "p", "", 1, (rules.Matcher("suffix", "/items"),), (), (asset,))])
+    assert [r.kind for r in made.conflicts.collect()] == ["OPAQUE_PACKAGE"] and made.warnings.count() == 1

@@ -103,6 +103,41 @@ def test_unsound_tables_are_refused():
         list(t.table_rows(m.header(len(wrong)), wrong))
 
 
+def parts(header, payload):
+    return [(label, *(f["raw"] for f in fields)) for _, _, label, fields in t.table_rows(header, payload)]
+
+
+def test_portable_rows_fit_any_package_with_the_imports():
+    header, payload = made(Maker())
+    assert t.build_table(header, payload, parts(header, payload)) == (t.Package(header).extended(header, [], len(payload)), payload)
+    other = made(Maker(("zzz", "Vector", "Sword")))
+    assert parts(*other) == parts(header, payload)
+    assert t.build_table(*other, parts(header, payload))[1] == other[1]
+
+
+def test_new_names_move_everything_after_them():
+    header, payload = made(Maker())
+    rows = [(t.portable_name("Größe"), t.portable_field("New", "NameProperty", "Other")), *parts(header, payload)]
+    grown, body = t.build_table(header, payload, rows)
+    p = t.Package(grown)
+    assert p.names[-3:] == ["Größe", "New", "Other"] and p.imports == t.Package(header).imports
+    assert (p.payload_size, p.payload_offset) == (len(body), len(grown))
+    assert [r[1] for r in t.table_rows(grown, body)] == ["Größe", "First", "Second"]
+    assert parts(grown, body) == rows and t.shell_digest(grown, body) == t.shell_digest(header, payload)
+
+
+def test_a_missing_import_is_refused():
+    header, payload = made(Maker())
+    with pytest.raises(t.TaggedError, match="import"):
+        t.build_table(*t.empty_table("T", "R"), parts(header, payload))
+
+
+def test_written_tables_read_back(spark):
+    rows = spark.createDataFrame([("a", 1, "r", [("N", "IntProperty", "-4"), ("S", "StrProperty", "é")]), ("a", 0, "q", []), ("b", 0, "r", [("W", "NameProperty", "None2")])], "asset string, row_pos long, row_name string, fields array<struct<name:string,type:string,value:string>>")
+    back = sorted((r.asset, r.row_pos, r.row_name, [(f.name, f.type, f.value) for f in r.fields]) for r in t.read_tables(t.write_tables(rows)).collect())
+    assert back == sorted((r.asset, r.row_pos, r.row_name, [tuple(f) for f in r.fields]) for r in rows.collect())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10_000), st.binary(min_size=1, max_size=6))
 def test_damage_never_crashes(at, noise):
