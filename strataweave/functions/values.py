@@ -66,9 +66,14 @@ def demangled(name: Column) -> Column:
     return F.regexp_replace(name, r"(?s)_[0-9]+_[0-9A-Fa-f]{32}\z", "")
 
 
+def refers(name: Column) -> Column:
+    """Whether a name can refer to a row: it isn't empty, ``None``, a qualified name or a path."""
+    return (name != "") & (name != "None") & ~name.contains("::") & ~name.startswith("/")
+
+
 def name_references(names: Column) -> Column:
-    """Names that can refer to a row: not empty, ``None``, a qualified name or a path."""
-    return F.filter(names, lambda x: (x != "") & (x != "None") & ~x.contains("::") & ~x.startswith("/"))
+    """Names that can refer to a row."""
+    return F.filter(names, refers)
 
 
 def positive(values: Column) -> Column:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.functions.paths import asset_path
+from strataweave.functions.values import refers
+
 EXAMPLES = 32
+BY_NUMBER, BY_NAME = "messagepack", "tables by name"
+MOST_SUFFIXES = 10_000
 
 
 def missing(references: DataFrame, targets: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
@@ -16,6 +21,46 @@ def missing(references: DataFrame, targets: DataFrame, exempt: DataFrame | None
     return out
 
 
+def missing_names(references: DataFrame, targets: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
+    """References by name (rule, source_row, target) that can mean a row, without a target (rule, target), exempt pairs aside.
+
+    Names are compared exactly, case included.
+    """
+    out = references.where(refers(F.col("target"))).join(targets.select("rule", "target"), ["rule", "target"], "left_anti")
+    if exempt is not None:
+        out = out.join(exempt.select("rule", "source_row", "target"), ["rule", "source_row", "target"], "left_anti")
+    return out
+
+
+def broken(form: str, references: DataFrame, targets: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
+    """rule, source_row, target (text) of references that break, by the form of the tables; another form is an error.
+
+    References and targets hold ``target_id`` where rows have numbers, ``target`` where they have names.
+    """
+    if form == BY_NUMBER:
+        return missing(references, targets, exempt).select("rule", "source_row", F.col("target_id").cast("string").alias("target"))
+    if form == BY_NAME:
+        return missing_names(references, targets, exempt).select("rule", "source_row", "target")
+    raise ValueError(f"no references are known for {form!r}")
+
+
+def resolved_tables(paths: DataFrame, tables: DataFrame) -> DataFrame:
+    """path, table: the first of the declared tables (position, table, suffix) whose suffix ends the path's normal form.
+
+    Declared tables come from profiles and are few; more than ``MOST_SUFFIXES`` are an error.
+    """
+    if tables.limit(MOST_SUFFIXES + 1).count() > MOST_SUFFIXES:
+        raise ValueError(f"over {MOST_SUFFIXES} declared tables")
+    normal = paths.select("path", asset_path(F.col("path")).alias("asset_path"))
+    met = normal.join(F.broadcast(tables), F.col("asset_path").endswith(F.col("suffix")))
+    return met.groupBy("path").agg(F.min_by("table", "position").alias("table"))
+
+
+def repeated_tables(resolved: DataFrame) -> DataFrame:
+    """Declared tables that more than one path resolves to, which no reference check can decide: table, n_paths."""
+    return resolved.groupBy("table").agg(F.count("*").alias("n_paths")).where("n_paths > 1")
+
+
 def summary(breaks: DataFrame) -> DataFrame:
     """Per rule: how many references break, and the least and greatest missing id."""
     return breaks.groupBy("rule").agg(F.count("*").alias("n_missing"), F.min("target_id").alias("min_missing"), F.max("target_id").alias("max_missing"))

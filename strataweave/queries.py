@@ -684,8 +684,24 @@ def name_references(spark, sf_dir):
     e = F.col("event_type")
     names = F.array(e, F.lit("None"), F.lit(""), F.concat(F.lit("A::"), e), F.concat(F.lit("/x/"), e), F.concat(e, F.lit("_"), (F.col("event_id") % 3).cast("string")))
     events = table(spark, sf_dir, "events")
-    used = events.select("event_id", F.explode(values.name_references(names)).alias("name"))
-    return used.join(events.select(e.alias("name")).distinct(), "name", "left_anti").select("event_id", "name")
+    used = events.select(F.lit("events.type").alias("rule"), F.col("event_id").alias("source_row"), F.explode(names).alias("target"))
+    known = events.select(F.lit("events.type").alias("rule"), e.alias("target")).distinct()
+    return refs.missing_names(used, known).select(F.col("source_row").alias("event_id"), F.col("target").alias("name"))
+
+
+@query(
+    f"""with {BREAK_SQL}, s as (select l_orderkey, l_partkey::varchar as target from lineitem where l_orderkey % 97 <> 0)
+select 'by number' as form, l_orderkey as source_row, l_partkey::varchar as target from x where l_orderkey % 97 <> 0
+union all select 'by name', l_orderkey, 'p' || target from s where target::bigint % 50 = 0 or target::bigint not in (select p_partkey from part)"""
+)
+def reference_dispatch(spark, sf_dir):
+    """The same references by number and, as names, by name."""
+    lines, parts, exempt = _references(spark, sf_dir)
+    name = F.concat(F.lit("p"), F.col("target_id").cast("string")).alias("target")
+    by_number = refs.broken(refs.BY_NUMBER, lines, parts, exempt)
+    by_name = refs.broken(refs.BY_NAME, lines.select("rule", "source_row", name), parts.select("rule", name), exempt.select("rule", "source_row", name))
+    out = by_number.withColumn("form", F.lit("by number")).unionByName(by_name.withColumn("form", F.lit("by name")))
+    return out.select("form", "source_row", "target")
 
 
 @query(
@@ -753,6 +769,20 @@ def asset_path_norm(spark, sf_dir):
     return _paths(spark, sf_dir).select("path", paths.asset_path(F.col("path")).alias("asset_path"))
 
 
+#: Tables that a profile declares, in order.
+DECLARED = [("Items", "/database/item"), ("Shops", "/shop"), ("Items twice", "/item"), ("Everything local", "/npcsetlista"), ("Pages", "1")]
+
+
+@query(
+    f"with {PATHS_SQL}, n as (select path, {NORMAL_SQL} as asset_path from pg), t as (select * from (values "
+    + ", ".join(f"({n}, '{name}', '{suffix}')" for n, (name, suffix) in enumerate(DECLARED))
+    + ') t(position, "table", suffix)) select path, arg_min("table", position) as "table" from n join t on ends_with(asset_path, suffix) group by path'
+)
+def reference_tables(spark, sf_dir):
+    declared = spark.createDataFrame([(n, *x) for n, x in enumerate(DECLARED)], "position int, table string, suffix string")
+    return refs.resolved_tables(_paths(spark, sf_dir), declared)
+
+
 @query(
     rf"""with {PATHS_SQL}
 select path, case when path = '' then 'empty' when starts_with(path, '/') or starts_with(path, '\') then 'absolute' when contains(path, '\') then 'backslash'
@@ -948,6 +978,51 @@ def msgpack_roundtrip(spark, sf_dir):
     return back.select("asset", "row_id", value("cents").cast("long").alias("cents"), value("status").alias("status"))
 
 
+@query(f"with {P_SQL} select 'part-' || (row_id // 50000) as asset, row_number() over (partition by row_id // 50000 order by row_id) - 1 as row_pos, 'r' || row_id as row_name, cents, status, priority from o")
+def ue_table_roundtrip(spark, sf_dir):
+    """Orders written as packages of tagged properties, of 50,000 rows at most, and read again."""
+    from strataweave.sources import tagged_rows
+
+    files = tagged_rows.write_tables(_named_orders(_orders(spark, sf_dir), F.floor(F.col("row_id") / 50000).cast("string")))
+    back = tagged_rows.read_tables(files)
+    return back.select("asset", "row_pos", "row_name", _tagged("cents").cast("long").alias("cents"), _tagged("status").alias("status"), _tagged("priority").alias("priority"))
+
+
+def _tagged(name):
+    return F.get(F.filter("fields", lambda f: f["name"] == name), F.lit(0))["value"]
+
+
+def _named_orders(rows, part):
+    field = lambda name, kind: F.struct(F.lit(name).alias("name"), F.lit(kind).alias("type"), F.col(name).cast("string").alias("value"))
+    fields = F.array(field("cents", "Int64Property"), field("status", "NameProperty"), field("priority", "StrProperty"))
+    return rows.select(F.concat(F.lit("part-"), part).alias("asset"), "row_pos", F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("row_name"), fields.alias("fields"))
+
+
+@query(
+    f"""with {P_SQL}, n as (
+  select input_index, 'r' || row_id as row_name, unnest([('field:cents', cents::varchar), ('field:status', status), ('field:priority', priority)]) as u from p
+), d as (
+  select row_name, u[1] as unit_id, count(*) as n_variants, min(input_index) as first, min(u[2]) <> max(u[2]) as differs from n group by 1, 2
+), w as (
+  select 'r' || row_id as row_name, count(*) as n_variants, min(input_index) as first, min(concat_ws('|', cents, status, priority)) <> max(concat_ws('|', cents, status, priority)) as differs from p group by 1
+)
+select row_name, unit_id, 'FIELD_VALUE' as kind, n_variants from d where first = 0 and differs
+union all select row_name, '__whole_row__', 'ATOMIC_GROUP', n_variants from w where first > 0 and differs"""
+)
+def name_table_merge(spark, sf_dir):
+    """Conflicts of three tables by row name, each written as packages and read again."""
+    from strataweave.plans import archives
+    from strataweave.sources import tagged_rows
+
+    part = F.concat(F.col("input_index").cast("string"), F.lit("-"), F.floor(F.col("row_id") / 50000).cast("string"))
+    back = tagged_rows.read_tables(tagged_rows.write_tables(_named_orders(overlays(spark, sf_dir), part)))
+    index = F.split("asset", "-")[1].cast("int").alias("input_index")
+    row = F.struct(F.regexp_replace("asset", "^part-[0-9]+-", "").alias("group_key"), F.lit(0).alias("row_id"), "row_name").alias("row")
+    rows = written(archives.with_hashes(back.select(row, index, "fields", F.array().cast("array<struct<id:string,fields:array<string>>>").alias("groups"))), "named")
+    found = archives.row_conflicts(rows, archives.field_units(rows))
+    return found.select("row.row_name", "unit_id", "kind", "n_variants")
+
+
 def _pack_orders(batches):
     import pyarrow as pa
 
