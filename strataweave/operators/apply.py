@@ -105,7 +105,30 @@ def rising(rows: DataFrame, group: str, position: str, value: str) -> DataFrame:
     return seen.groupBy(group).agg(F.count("*").alias("n"), count(F.col("v") < F.col("before"), "falls"), count(F.col("v") == F.col("before"), "repeats"))
 
 
-def overlaps(ranges: DataFrame, group: str, start: str, end: str) -> DataFrame:
-    """Ranges that begin before an earlier one of their group ends."""
-    reach = F.max(end).over(Window.partitionBy(group).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.withColumn("reach", reach).where(F.col(start) < F.col("reach"))
+def running_total(rows: DataFrame, group: str, order: str, value: str, name: str, width: int = 100_000) -> DataFrame:
+    """The rows with the sum of ``value`` over their group up to their (integer) order, equal ones included.
+
+    Windows are over ``width`` orders of a group; totals of the stretches before come from a window over those alone,
+    so that a group of a third of all rows is spread.
+    """
+    parted = rows.withColumn("__part", F.floor(F.col(order) / width))
+    sums = parted.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__at")).agg(F.sum(value).alias("total"))
+    before = F.sum("total").over(Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    totals = sums.select("__group", "__at", F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = parted.join(totals, F.col(group).eqNullSafe(F.col("__group")) & F.col("__part").eqNullSafe(F.col("__at")))
+    within = F.sum(value).over(Window.partitionBy(group, "__part").orderBy(order))
+    return joined.withColumn(name, within + F.col("__before")).drop("__part", "__group", "__at", "__before")
+
+
+def overlaps(ranges: DataFrame, group: str, start: str, end: str, width: int = 1 << 24) -> DataFrame:
+    """Ranges that begin before an earlier one of their group ends; those without a start or an end take no part.
+
+    Windows are over starts within ``width``; what reaches in from before is the greatest end of the stretches before.
+    """
+    parted = ranges.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__part", F.floor(F.col(start) / width))
+    ends = parted.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__at")).agg(F.max(end).alias("end"))
+    before = F.max("end").over(Window.partitionBy("__group").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    joined = parted.join(ends.select("__group", "__at", before.alias("__before")), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__at")))
+    within = F.max(end).over(Window.partitionBy(group, "__part").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.greatest(within, F.col("__before"))
+    return joined.withColumn("reach", reach).where(F.col(start) < F.col("reach")).drop("__part", "__group", "__at", "__before")

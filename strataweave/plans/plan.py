@@ -59,10 +59,16 @@ def with_ids(variants: DataFrame, asset: str, key: str, input_ids: Sequence[str]
     return made, grouped.withColumn("conflict_id", stable_id_of("conf", CONFLICT, parts))
 
 
-def conflict_chunks(conflicts: DataFrame, chunks: int = 256) -> DataFrame:
-    """Digests of the sorted conflict ids by their first two hexadecimal digits: 256 rows, however many conflicts."""
-    grouped = conflicts.groupBy(F.substring("conflict_id", 6, 2).alias("chunk")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("conflict_id")).alias("ids"))
-    return grouped.select("chunk", "n", F.sha2(F.array_join("ids", ","), 256).alias("digest"))
+def conflict_chunks(conflicts: DataFrame) -> DataFrame:
+    """Digests of the sorted conflict ids by their first two hexadecimal digits: 256 rows, however many conflicts.
+
+    Ids are hashes, so 65,536 groups by four digits hold a few each, and 256 of their digests make a row.
+    """
+    part, chunk = F.substring("conflict_id", 6, 4).alias("part"), F.substring("part", 1, 2).alias("chunk")
+    parts = conflicts.groupBy(part).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("conflict_id")).alias("ids"))
+    digests = parts.select("part", "n", F.sha2(F.array_join("ids", ","), 256).alias("digest"))
+    grouped = digests.groupBy(chunk).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "digest"))).alias("parts"))
+    return grouped.select("chunk", "n", F.sha2(F.array_join("parts.digest", ","), 256).alias("digest"))
 
 
 def summary(conflicts: DataFrame, differences_drift: DataFrame, input_ids: Sequence[str], base: str, profile: str) -> DataFrame:

@@ -304,7 +304,9 @@ def conflict_ids(spark, sf_dir):
 
 @query(
     f"""with {VARIANT_SQL}, k as (
-  select substr(conflict_id, 6, 2) as chunk, count(*) as n, sha256(string_agg(conflict_id, ',' order by conflict_id)) as digest from ci where kind <> 'ENCODING_DRIFT' group by 1
+  select substr(part, 1, 2) as chunk, sum(n)::bigint as n, sha256(string_agg(digest, ',' order by part)) as digest from (
+    select substr(conflict_id, 6, 4) as part, count(*) as n, sha256(string_agg(conflict_id, ',' order by conflict_id)) as digest from ci where kind <> 'ENCODING_DRIFT' group by 1
+  ) group by 1
 )
 select sum(n)::bigint as n_conflicts, (select count(*) from d where kind = 'ENCODING_DRIFT') as n_drift,
   'plan-' || sha256(encode('{ids.PLAN}') || {" || ".join(_sql_frame(repr(x)) for x in (*INPUT_IDS, "in-0", "generic", "generic"))}
@@ -612,11 +614,10 @@ RANGES_SQL = """r as (
 select source, doc_id from x where start < reach"""
 )
 def disjoint_ranges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    so_far = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id")) - F.col("n_chars")
     size = F.col("n_chars") + F.when(F.col("doc_id") % 50 == 0, 7).otherwise(0)
-    ranges = table(spark, sf_dir, "documents").select("source", "doc_id", so_far.alias("start"), (so_far + size).alias("end"))
+    docs = apply.running_total(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars", "so_far")
+    start = F.col("so_far") - F.col("n_chars")
+    ranges = docs.select("source", "doc_id", start.alias("start"), (start + size).alias("end"))
     return apply.overlaps(ranges, "source", "start", "end").select("source", "doc_id")
 
 
