@@ -1,3 +1,5 @@
+import random
+
 from strataweave.llm.components import connected_components
 from strataweave.llm.urlfilter import judge_urls, page_links
 
@@ -77,3 +79,43 @@ def test_empty_table_and_repeated_rows(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA + ", host string, own int, node string"), RULES).collect() == []
     df = spark.createDataFrame([(1, "http://bad.com/", None)] * 2, SCHEMA)
     assert [r.verdict for r in judge_urls(df, RULES).collect()] == ["block", "block"]
+
+
+def brute_force(pages):
+    """Verdicts of pages (page_id, host, path, address it links to or None) by a plain union-find and a loop over rules."""
+
+    def rule(host, path):
+        fits = [(len(h) + len(p), v == "allow", v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2] if fits else None
+
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for _, host, path, target in pages:
+        find((host, path))
+        if target is not None:
+            parent[find((host, path))] = find(target)
+    blocked = {find(n) for n in list(parent) if rule(*n) == "block"}
+    return {i: rule(h, p) or ("block" if find((h, p)) in blocked else "allow") for i, h, p, _ in pages}
+
+
+def test_aliases_against_brute_force(spark):
+    draw = random.Random(7)
+    hosts = ["bad.com", "x.bad.com", "example.org", "a.net", "b.net", "c.net", "d.io"]
+    # a long chain and a hub besides random links; blocking addresses also occur as targets alone
+    addresses = [(draw.choice(hosts), f"/{draw.choice(['ok', 'es', 'p'])}/{n}") for n in range(900)]
+    pages = [(n, *a, draw.choice(addresses) if draw.random() < 0.35 else None) for n, a in enumerate(addresses[:700])]
+    chain = [(1000 + n, "chain.net", f"/{n}", ("chain.net", f"/{n + 1}")) for n in range(60)] + [(1060, "chain.net", "/60", ("bad.com", "/end"))]
+    hub = [(2000 + n, "spoke.net", f"/{n}", ("hub.net", "/")) for n in range(300)]
+    every = pages + chain + hub
+    rows = [(i, f"http://{h.upper()}{p}#x", canonical(f"https://{t[0]}{t[1]}") if t else "<p>") for i, h, p, t in every]
+    expected = brute_force(every)
+    found = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, SCHEMA), RULES).collect()}
+    assert found == expected
+    own = sum(1 for i, h, p, t in every if h not in ("bad.com", "x.bad.com", "example.org") and expected[i] == "block")
+    assert own > 100  # decisions that come from aliases alone
